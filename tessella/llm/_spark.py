@@ -50,6 +50,7 @@ def columns_or_null(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`").cast(t).alias(c) for c, t in types.items()))
 
 
-def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Upper bound of rows in an Arrow batch, for operators on long texts."""
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bound the Arrow batches that long texts travel in, by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")

@@ -2,7 +2,7 @@
 
 The text operators of this subpackage share these kernels.  They work on the
 UTF-8 bytes that Arrow hands over, so no Python string is built, and on slices
-of a few megabytes, so memory is bounded by the slice and not by the batch.
+of half a megabyte, so memory is bounded by the slice and not by the batch.
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D; those bytes
 never occur inside a multi-byte UTF-8 sequence.
 """
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

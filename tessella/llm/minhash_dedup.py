@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import _words as W
 from ._graph import components
-from ._spark import Table, columns_or_null
+from ._spark import Table, columns_or_null, small_batches
 
 SKETCH = 64
 WIDTH = 5
@@ -147,6 +147,7 @@ def near_duplicates(docs: DataFrame, k: int = SKETCH, width: int = WIDTH, percen
     doc_id come back with a null component and are not kept.  Other columns are
     ignored.  An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     docs = columns_or_null(docs, doc_id="long", text="string")
     all_sketches = Table(sketches(docs, k, width), "sketches")
     full = all_sketches.df.where("n > 0 and doc_id is not null")
