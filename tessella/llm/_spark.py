@@ -54,3 +54,12 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the Arrow batches that long texts travel in, by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
+#: Rows of a narrow table of ids (8 bytes each) up to which it is broadcast.
+BROADCAST_IDS = 2_000_000
+
+
+def ids_hint(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
+    """A stored table of ids, broadcast if it is counted to hold at most `limit` rows; else joins shuffle."""
+    return F.broadcast(ids) if ids.count() <= limit else ids

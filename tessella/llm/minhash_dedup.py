@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import _words as W
 from ._graph import components
-from ._spark import Table, columns_or_null, small_batches
+from ._spark import Table, columns_or_null, ids_hint, small_batches
 
 SKETCH = 64
 WIDTH = 5
@@ -85,9 +85,10 @@ def full_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def _postings(reps: DataFrame, k: int, least: int) -> DataFrame:
     """(key, rep, n, alone): each class under its rarest retained values; alone: how many of them no other class has."""
-    values = reps.select("rep", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("key"))
+    values = reps.select("rep", F.explode("sketch").alias("key"))
     often = values.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    shared = values.join(often, "key").groupBy("rep").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.array_sort(F.collect_list(F.struct("df", "key"))).alias("v"))
+    shared = values.join(often, "key").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("v"))
+    shared = shared.join(reps.select("rep", "n", F.least("n", F.lit(k)).alias("m")), "rep")
     alone = F.col("m") - F.size("v")
     room = F.col("m") - F.greatest(F.lit(1), F.floor(F.col("m") * least / k)) + 1
     return shared.select("rep", "n", alone.alias("alone"), F.explode(F.slice("v", F.lit(1), F.greatest(F.lit(0), room - alone).cast("int"))).alias("v")).select(F.col("v.key").alias("key"), "rep", "n", "alone")
@@ -156,8 +157,9 @@ def near_duplicates(docs: DataFrame, k: int = SKETCH, width: int = WIDTH, percen
     pivots = lists.df.groupBy("key").agg(F.min(F.struct("alone", "rep")).alias("p"), F.count("*").alias("c")).where("c > 1").select("key", F.col("p.rep").alias("pivot"))
     stars = lists.df.join(pivots, "key").where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
     stars = Table(stars, "stars")
-    wanted = stars.df.select(F.col("a").alias("doc_id")).unionAll(stars.df.select("b")).distinct()
-    sets = Table(full_sets(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), width), "sets")
+    wanted = Table(stars.df.select(F.col("a").alias("doc_id")).unionAll(stars.df.select("b")).distinct(), "wanted")
+    sets = full_sets(docs.join(ids_hint(wanted.df), "doc_id", "left_semi"), width)
+    sets = Table(sets, "sets")
     links = Table(_verified(stars.df, sets.df, k, least_overlap, percent), "links")
     first = components(links.df)
     open_lists = _open(lists.df, first.df)
@@ -168,7 +170,7 @@ def near_duplicates(docs: DataFrame, k: int = SKETCH, width: int = WIDTH, percen
         open_lists = narrowed
     more = _cross_links(open_lists.df, sets.df, percent)
     final = components(links.df.unionAll(more))
-    for t in (lists, stars, sets, links, first, open_lists):
+    for t in (lists, stars, wanted, sets, links, first, open_lists):
         t.drop()
     classes = reps.df.join(final.df, reps.df.rep == final.df.node, "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     joined = all_sketches.df.drop("sketch").join(classes, ["d1", "d2"], "left")
