@@ -56,6 +56,35 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
+def long_array(values) -> str:
+    """SQL for a constant array of longs, folded once by the optimizer."""
+    return f"cast(split('{','.join(map(str, values))}', ',') as array<bigint>)" if len(values) else "cast(array() as array<bigint>)"
+
+
+def range_of(key: str, bounds) -> str:
+    """SQL for the number of ascending bounds that are <= key: a binary search inside the JVM."""
+    if not len(bounds):
+        return "0"
+    steps = len(bounds).bit_length()
+    table = long_array(bounds)
+    mid = "cast((s.lo + s.hi) div 2 as int)"
+    step = f"if(s.lo >= s.hi, s, if(b.t[{mid}] <= {key}, named_struct('lo', {mid} + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', {mid})))"
+    step = step.replace("b.t", table)
+    return f"aggregate(sequence(1, {steps}), named_struct('lo', 0, 'hi', {len(bounds)}), (s, i) -> {step}, s -> s.lo)"
+
+
+def splitters(keys: list[int], weights: list[int], parts: int) -> list[int]:
+    """Ascending distinct keys that cut a weighted sample into about `parts` equal ranges, each bound the first key of its range."""
+    import numpy as np
+
+    if parts <= 1 or not len(keys):
+        return []
+    order = np.argsort(np.array(keys, dtype=np.int64), kind="stable")
+    k, w = np.array(keys, dtype=np.int64)[order], np.cumsum(np.array(weights, dtype=np.float64)[order])
+    at = np.searchsorted(w, w[-1] * np.arange(1, parts) / parts, side="right")
+    return sorted({int(x) for x in k[np.minimum(at, len(k) - 1)]} - {int(k[0])})
+
+
 #: Rows of a narrow table of ids (8 bytes each) up to which it is broadcast.
 BROADCAST_IDS = 2_000_000
 
