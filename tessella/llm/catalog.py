@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, embedding_dedup, language_id, minhash_dedup, packing, pii, sharding, substring_dedup, warc
+from . import decontamination, embedding_dedup, language_id, minhash_dedup, packing, pii, quality, sharding, substring_dedup, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_hyperdimensional_language": language_id.op7_hyperdimensional_language,
     "op8_minhash_dedup": minhash_dedup.op8_minhash_dedup,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
+    "op10_pu_quality": quality.op10_pu_quality,
 }
 ORACLES = {
     "op1_decontamination": decontamination.SQL,

@@ -22,6 +22,7 @@ No list or group is gathered in one task and nothing is dropped for its size.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -222,9 +223,10 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without those that near_duplicates() doesn't keep; rows without a doc_id stay."""
-    gone = near_duplicates(docs).where("doc_id is not null and not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """The documents, with all their columns, that near_duplicates() keeps; rows without a doc_id stay."""
+    gone = f"gone_{uuid.uuid4().hex}"
+    ids = Table(near_duplicates(docs).where("doc_id is not null and not kept").select(F.col("doc_id").alias(gone)), "gone")
+    return docs.join(ids_hint(ids.df), F.col("doc_id") == F.col(gone), "left_anti")
 
 
 _WORDS8 = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
