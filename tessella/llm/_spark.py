@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,12 @@ class Table:
     def drop(self) -> None:
         drop_path(self.spark, self.path)
 
+    def settle(self) -> Table:
+        """Frees the shuffle files of finished steps, which Spark keeps until the driver collects its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+        return self
+
 
 def columns_or_null(df: DataFrame, **types: str) -> DataFrame:
     """Only the named columns, cast to the given types; extra columns are left out, whatever their names."""

@@ -7,7 +7,7 @@
    that range, every other occurrence of the window has the symbol too.
 2. A symbol in one document only proves that no window around it repeats.  A
    fixed share of the symbols, chosen by name, is counted over all documents.
-3. The windows that no such symbol rules out are verified: their 128-bit hashes
+3. The windows that no such symbol rules out are verified: their 96-bit hashes
    are grouped, and the smallest document of each group keeps the words.
 4. Words of windows that also start in a smaller document are removed.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import _words as W
 from ._recompress import recompress
-from ._spark import Table, columns_or_null, small_batches
+from ._spark import Table, columns_or_null, ids_hint, small_batches
 
 WINDOW = 50
 ROUNDS = 5
@@ -113,12 +113,13 @@ def _windows(window: int, rounds: int, share: int):
                 if not len(at):
                     continue
                 owner = np.searchsorted(firsts, at, side="right") - 1
-                h = [W.window_hashes(words, window, b)[at].astype(np.int64) for b in _BASES]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i + owner]), pa.array(at - firsts[owner]), pa.array(h[0]), pa.array(h[1]), pa.nulls(len(at), pa.string())], names=["doc_id", "at", "h1", "h2", "text"])
+                h = [W.window_hashes(words, window, b)[at] for b in _BASES]
+                place = pa.array((at - firsts[owner]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i + owner]), place, pa.array(h[0].astype(np.int64)), pa.array((h[1] >> np.uint64(32)).astype(np.int32)), pa.nulls(len(at), pa.string())], names=["doc_id", "at", "h1", "h2", "text"])
                 losing = np.unique(owner[~shut[0][at]])
                 if len(losing):
-                    z = pa.array(np.full(len(losing), -1))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i + losing]), z, z, z, texts.take(pa.array(i + losing))], names=["doc_id", "at", "h1", "h2", "text"])
+                    z = pa.array(np.full(len(losing), -1, dtype=np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i + losing]), z, z.cast(pa.int64()), z, texts.take(pa.array(i + losing))], names=["doc_id", "at", "h1", "h2", "text"])
 
     return run
 
@@ -161,20 +162,22 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
     named = Table(named, "named")
     all_docs.drop()
     copies = named.df.where(f"head < doc_id and n_words >= {window}").select("doc_id")
-    searched = docs.where("doc_id is not null").join(copies, "doc_id", "left_anti")
+    searched = docs.where("doc_id is not null").join(ids_hint(copies), "doc_id", "left_anti")
     symbols = searched.mapInArrow(_symbols(window, rounds, share), "name long, doc_id long")
-    symbols = Table(symbols, "symbols")
+    symbols = Table(symbols, "symbols").settle()
     shared = symbols.df.groupBy("name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     low, high = F.col("least") < F.col("doc_id"), F.col("most") > F.col("doc_id")
     flags = symbols.df.join(shared, "name").groupBy("doc_id").agg(F.collect_list(F.when(low, F.col("name"))).alias("low"), F.collect_list(F.when(high, F.col("name"))).alias("high"))
-    windows = searched.join(flags, "doc_id", "left").select("doc_id", "text", "low", "high").mapInArrow(_windows(window, rounds, share), "doc_id long, at long, h1 long, h2 long, text string")
-    windows = Table(windows, "windows")
+    flags = Table(flags, "flags").settle()
     symbols.drop()
+    windows = searched.join(flags.df, "doc_id", "left").select("doc_id", "text", "low", "high").mapInArrow(_windows(window, rounds, share), "doc_id long, at int, h1 long, h2 int, text string")
+    windows = Table(windows, "windows").settle()
+    flags.drop()
     places = windows.df.where("at >= 0").select("doc_id", "at", "h1", "h2")
     least = places.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     cuts = places.join(least, ["h1", "h2"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_list("at").alias("cut"))
     cut = windows.df.where("at < 0").select("doc_id", "text").join(cuts, "doc_id").select("doc_id", "text", "cut").mapInArrow(_kept(window), "doc_id long, n_removed long, kept string")
-    cut = Table(cut, "cut")
+    cut = Table(cut, "cut").settle()
     windows.drop()
     is_copy = (F.col("head") < F.col("doc_id")) & (F.col("n_words") >= window)
     out = named.df.join(cut.df, "doc_id", "left")
