@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,7 +93,7 @@ def with_first_match(docs: DataFrame, patterns: list[str], text: str = "text", n
     shared = list(dict.fromkeys(patterns))
 
     @F.pandas_udf("string")
-    def match(batches: Iterator) -> Iterator:
+    def match(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         automaton = _automaton(shared)
         for s in batches:
             yield s.map(lambda t: min(((e, -len(p), p) for e, p in _first_end(automaton, t)), default=(0, 0, None))[2] if t else None)
