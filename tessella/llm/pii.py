@@ -132,7 +132,7 @@ def _candidate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     cyrillic = F.array_join(F.transform(F.sequence(F.lit(0), more + 1), lambda i: F.concat(_pick("бвгдзклмнпрст", _byte(stream, i * 2)), _pick("аеиоу", _byte(stream, i * 2 + 1)))), "")
     latin = F.array_join(F.transform(F.sequence(F.lit(0), more + 1), lambda i: F.concat(_pick("bdfgklmnprstv", _byte(stream, i * 2)), _pick("aeiou", _byte(stream, i * 2 + 1)))), "")
     is_cyrillic, is_latin = norm.rlike(r"^[\p{IsCyrillic}'’-]+$"), norm.rlike(r"^[\p{IsLatin}'’-]+$")
-    given = plain
+    given = F.when((kind == "surname") & is_latin, F.concat(latin, _pick("nrlskmt", _byte(stream, F.lit(41))))).when((kind == "surname") & is_cyrillic, F.concat(cyrillic, _pick("нрлскмт", _byte(stream, F.lit(41))))).otherwise(plain)
     for sex in "fm":
         of = kind == f"given_{sex}"
         given = F.when(of & is_latin, F.concat(latin, _pick(_ENDINGS["latin", sex], _byte(stream, F.lit(40))))).when(of & is_cyrillic, F.concat(cyrillic, _pick(_ENDINGS["cyrillic", sex], _byte(stream, F.lit(40))))).otherwise(given)
@@ -142,7 +142,7 @@ def _candidate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
         .when(kind == "card", card)
         .when(kind == "phone", digits)
         .when((kind == "secret") & norm.rlike("^[0-9a-f]+$"), hexadecimal)
-        .when(kind.startswith("given"), given)
+        .when(kind.startswith("given") | (kind == "surname"), given)
         .otherwise(plain)
     )
 
