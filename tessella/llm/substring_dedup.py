@@ -175,10 +175,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
     flags.drop()
     places = windows.df.where("at >= 0").select("doc_id", "at", "h1", "h2")
     least = places.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    cuts = places.join(least, ["h1", "h2"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_list("at").alias("cut"))
+    least = Table(least, "least").settle()
+    cuts = places.join(least.df, ["h1", "h2"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_list("at").alias("cut"))
     cut = windows.df.where("at < 0").select("doc_id", "text").join(cuts, "doc_id").select("doc_id", "text", "cut").mapInArrow(_kept(window), "doc_id long, n_removed long, kept string")
     cut = Table(cut, "cut").settle()
     windows.drop()
+    least.drop()
     is_copy = (F.col("head") < F.col("doc_id")) & (F.col("n_words") >= window)
     out = named.df.join(cut.df, "doc_id", "left")
     removed = F.when(is_copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
