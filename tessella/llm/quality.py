@@ -31,6 +31,8 @@ from .language_id import fold
 #: Rows of the samples that the classifier is fitted to, at about these numbers.
 LABELLED, UNLABELLED = 12_000, 12_000
 HIDDEN, EPOCHS, BATCH, RATE = 24, 40, 512, 3e-3
+#: Small samples are gone over until this many steps.
+LEAST_STEPS = 600
 THRESHOLD = 0.3
 
 _CLASS = np.full(256, 15, dtype=np.int64)
@@ -150,7 +152,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
     theta = [rng.standard_normal((d, hidden)).astype(np.float32) * np.sqrt(1 / d), np.zeros(hidden, np.float32), rng.standard_normal(hidden).astype(np.float32) * np.sqrt(1 / hidden), np.zeros(1, np.float32)]
     m, v, step = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta], 0
     rounds = max(1, -(-max(len(p), len(u)) // batch))
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-LEAST_STEPS // rounds))):
         at_p, at_u = np.resize(rng.permutation(len(p)), rounds * batch), np.resize(rng.permutation(len(u)), rounds * batch)
         for k in range(rounds):
             a, b = p[at_p[k * batch : (k + 1) * batch]], u[at_u[k * batch : (k + 1) * batch]]
@@ -177,21 +179,28 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
     return Model(mean, scale, theta[0], theta[1], theta[2], float(theta[3][0]))
 
 
-def calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
-    """Slope and shift of the output by logistic regression on trusted labels; needs both kinds."""
+def calibrate(model: Model, x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD) -> Model:
+    """Slope and shift of the output from trusted labels of both kinds.
+
+    The cut with the fewest errors, in the middle of all such, gets the score
+    `threshold`; the slope is that of a logistic regression through it.
+    """
     if len(np.unique(y)) < 2:
         return model
     g = model.raw(x).astype(np.float64)
-    middle, spread = g.mean(), g.std() + 1e-9
-    z, a, b = (g - middle) / spread, 1.0, 0.0
+    order = np.argsort(g, kind="stable")
+    v, t = g[order], y[order]
+    errors = np.concatenate([[0], np.cumsum(t == 1)]) + (t == 0).sum() - np.concatenate([[0], np.cumsum(t == 0)])
+    edge = np.concatenate([[v[0] - 1], (v[1:] + v[:-1]) / 2, [v[-1] + 1]])
+    errors[1:-1][v[1:] == v[:-1]] = len(y) + 1
+    best = np.flatnonzero(errors == errors.min())
+    cut, at = (edge[best[0]] + edge[best[-1]]) / 2, np.log(threshold / (1 - threshold))
+    z, a = (g - cut) / (g.std() + 1e-9), 1.0
     for _ in range(50):
-        s = _sigmoid(a * z + b)
-        w = s * (1 - s) + 1e-9
-        e = s - y
-        h = np.array([[(w * z * z).sum() + 1.0, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-3]])
-        da, db = np.linalg.solve(h, [(e * z).sum() + (a - 1.0), e.sum()])
-        a, b = a - np.clip(da, -1, 1), b - np.clip(db, -1, 1)
-    model.slope, model.shift = a / spread, b - a * middle / spread
+        s = _sigmoid(a * z + at)
+        a -= np.clip((((s - y) * z).sum() + a - 1.0) / ((s * (1 - s) * z * z).sum() + 1.0), -1, 1)
+    model.slope = max(a, 0.1) / (g.std() + 1e-9)
+    model.shift = at - model.slope * cut
     return model
 
 
