@@ -1,7 +1,8 @@
 """Personal data: keyed, type-consistent surrogates for what a text reveals.
 
 Everything runs on DataFrame functions.  Detected are e-mail addresses, telephone
-numbers, IPv4 addresses, payment-card and social-security numbers, secrets such as
+numbers, IPv4 addresses, bank-account,
+payment-card and social-security numbers, secrets such as
 tokens and passwords, and names that follow a title.
 
 * A surrogate depends on a secret key, the type and the normalised value alone, so
@@ -32,17 +33,20 @@ _FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Sign
 _MALE = ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Signor", "Господин", "господин", "Κύριος", "السيد")
 _TITLE = "(?:" + "|".join(sorted(_FEMALE + _MALE, key=lambda t: -len(t))) + r")"
 
-#: Type and pattern; an earlier one wins.
+_BEFORE_SECRET = r"(?:token|secret|password|passwd|api_key|apikey|access_key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
+
+#: Type and pattern; an earlier one wins.  All begin where no letter or digit is before.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,128}@[\p{L}\p{N}-]{1,64}(?:\.[\p{L}\p{N}-]{1,64}){1,8}",
-    "secret": r"(?:(?<=(?:token|secret|password|passwd|api_key|apikey|access_key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_+/.~=-]{8,512}|(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|[0-9a-f]{40}|[0-9a-f]{64})(?![\p{L}\p{N}]))",
-    "phone": r"(?<![\p{L}\p{N}.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\p{L}\p{N}])",
-    "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
-    "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)",
-    "card": r"(?<![\p{L}\p{N}.])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\p{L}\p{N}])",
-    "name": rf"(?<![\p{{L}}\p{{N}}]){_TITLE}\.? (?:(?=[\p{{Lu}}\p{{Lo}}]){_LETTER}{{2,40}})(?: (?=[\p{{Lu}}\p{{Lo}}]){_LETTER}{{2,40}}){{0,2}}",
+    "email": r"(?<![._%+-])[\p{L}\p{N}._%+-]{1,128}@[\p{L}\p{N}-]{1,64}(?:\.[\p{L}\p{N}-]{1,64}){1,8}",
+    "secret": rf"(?:{_BEFORE_SECRET}[A-Za-z0-9_+/.~=-]{{8,512}}|" + r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|[0-9a-f]{40}|[0-9a-f]{64})(?![\p{L}\p{N}]))",
+    "phone": r"(?<!\.)(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\p{L}\p{N}])",
+    "ssn": r"(?<!-)\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
+    "ip": r"(?<!\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)",
+    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "card": r"(?<!\.)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\p{L}\p{N}])",
+    "name": rf"{_TITLE}\.? (?:(?=[\p{{Lu}}\p{{Lo}}]){_LETTER}{{2,40}})(?: (?=[\p{{Lu}}\p{{Lo}}]){_LETTER}{{2,40}}){{0,2}}",
 }
-PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+PATTERN = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 #: Every match holds a digit, an @, one of the words before a secret or after a title; a cheap test that most texts fail.
 _WORDS = ("token", "secret", "passw", "api_key", "apikey", "access_key", "AKIA", *(f"{t}{end}" for t in _FEMALE + _MALE for end in (" ", ".")))
 
@@ -114,6 +118,16 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(1), n), one), F.lit(0), lambda a, x: a + x)
 
 
+def _mod97(chars: Column) -> Column:
+    """Remainder of a bank account number in its checking order, letters counting 10 to 35."""
+
+    def step(a: Column, i: Column) -> Column:
+        c = F.substring(chars, i, F.lit(1))
+        return F.when(c.rlike("[0-9]"), F.pmod(a * 10 + F.ascii(c) - 48, F.lit(97))).otherwise(F.pmod(a * 100 + F.ascii(c) - 55, F.lit(97)))
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(chars)), F.lit(0), step)
+
+
 def _candidate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     seed = F.concat(F.lit(key + "\n"), kind, F.lit("\n"), norm, F.lit("\n"), attempt.cast("string"), F.lit("\n"))
     stream = F.concat(*(F.sha2(F.concat(seed, F.lit(str(k))).cast("binary"), 256) for k in range(3)))
@@ -126,6 +140,10 @@ def _candidate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     check = F.pmod(F.lit(10) - F.pmod(_luhn(F.concat(short, F.lit("0"))), F.lit(10)), F.lit(10))
     last = F.when(F.pmod(_luhn(norm), F.lit(10)) == 0, check).otherwise(F.pmod(check + 1 + F.pmod(_byte(stream, F.lit(47)), F.lit(9)), F.lit(10)))
     card = F.concat(short, last.cast("string"))
+    land, account = F.substring(norm, 1, 2), F.substring(plain, F.lit(5), F.length(norm))
+    valid = _mod97(F.concat(F.substring(norm, F.lit(5), F.length(norm)), F.substring(norm, 1, 4))) == 1
+    proof = F.lpad((98 - _mod97(F.concat(account, land, F.lit("00")))).cast("string"), 2, "0")
+    iban = F.concat(land, F.when(valid, proof).otherwise(F.substring(plain, 3, 2)), account)
     ip = F.array_join(F.transform(F.split(norm, r"\."), lambda x, i: (F.pmod(_byte(stream, i), F.lit(254)) + 1).cast("string")), ".")
     hexadecimal = F.array_join(F.transform(F.sequence(F.lit(1), F.length(norm)), lambda i: _pick("0123456789abcdef", _byte(stream, i - 1))), "")
     more = F.least(attempt, F.lit(3))
@@ -140,6 +158,7 @@ def _candidate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
         F.when((kind == "email") & (at > 0), email)
         .when(kind == "ip", ip)
         .when(kind == "card", card)
+        .when(kind == "iban", iban)
         .when(kind == "phone", digits)
         .when((kind == "secret") & norm.rlike("^[0-9a-f]+$"), hexadecimal)
         .when(kind.startswith("given") | (kind == "surname"), given)
@@ -162,7 +181,8 @@ def _parts(raw: Column, kind: Column) -> Column:
     sex = F.when(title.isin(*_FEMALE), "f").otherwise("m")
     words = F.filter(F.split(F.regexp_replace(raw, rf"^{_TITLE}\.? ", ""), " "), lambda w: w != "")
     names = F.transform(words, lambda w, i: F.struct(F.when(i < F.size(words) - 1, F.concat(F.lit("given_"), sex)).otherwise("surname").alias("kind"), F.lower(w).alias("norm")))
-    norm = F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(raw, "[^0-9]", "")).when(kind == "email", F.lower(raw)).otherwise(raw)
+    raw = F.when(kind == "secret", F.regexp_replace(raw, f"^{_BEFORE_SECRET}", "")).otherwise(raw)
+    norm = F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(raw, "[^0-9]", "")).when(kind == "iban", F.replace(raw, F.lit(" "), F.lit(""))).when(kind == "email", F.lower(raw)).otherwise(raw)
     return F.when(kind == "name", names).otherwise(F.array(F.struct(kind.alias("kind"), norm.alias("norm"))))
 
 
@@ -177,13 +197,17 @@ def _like(raw: Column, surrogate: Column) -> Column:
 def _rendered(raw: Column, kind: Column, surrogates: Column) -> Column:
     """A value's surrogate in the format of the value as it stands in the text."""
     one = F.element_at(surrogates, 1)
-    nth = lambda i: F.length(F.regexp_replace(F.substring(raw, F.lit(1), i), "[^0-9]", ""))
-    digits = F.array_join(F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.when(F.substring(raw, i, F.lit(1)).rlike("[0-9]"), F.substring(one, nth(i), F.lit(1))).otherwise(F.substring(raw, i, F.lit(1)))), "")
+    def spaced(kept: str) -> Column:
+        """The surrogate's characters at the places of the kept ones, separators as they stand."""
+        nth = lambda i: F.length(F.regexp_replace(F.substring(raw, F.lit(1), i), f"[^{kept}]", ""))
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.when(F.substring(raw, i, F.lit(1)).rlike(f"[{kept}]"), F.substring(one, nth(i), F.lit(1))).otherwise(F.substring(raw, i, F.lit(1)))), "")
+
     cased = F.array_join(F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.when(F.substring(raw, i, F.lit(1)) == F.substring(F.lower(raw), i, F.lit(1)), F.substring(one, i, F.lit(1))).otherwise(F.upper(F.substring(one, i, F.lit(1))))), "")
     head = F.regexp_extract(raw, rf"^({_TITLE}\.? )", 1)
     words = F.split(F.substring(raw, F.length(head) + 1, F.length(raw)), " ")
     name = F.concat(head, F.array_join(F.zip_with(words, surrogates, _like), " "))
-    return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "email", cased).when(kind == "name", name).otherwise(one)
+    secret = F.concat(F.regexp_extract(raw, f"^({_BEFORE_SECRET})", 1), one)
+    return F.when(kind == "secret", secret).when(kind.isin("phone", "card", "ssn"), spaced("0-9")).when(kind == "iban", spaced("A-Z0-9")).when(kind == "email", cased).when(kind == "name", name).otherwise(one)
 
 
 def surrogate_table(values: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> Table:
@@ -243,6 +267,7 @@ def with_surrogates(docs: DataFrame, key: str = KEY, count: str | None = None) -
     rendered = named.groupBy("raw", "whole").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "surrogate"))), lambda x: x["surrogate"]).alias("s"))
     rendered = rendered.select("raw", _rendered(F.col("raw"), F.col("whole"), F.col("s")).alias("new"))
     maps = values.df.select("h", "raw").join(rendered, "raw").groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("raw", "new"))).alias(m)).withColumnRenamed("h", h)
+    maps = Table(maps, "maps").df
     found = _values(text)
     pieces = F.split(text, PATTERN, -1)
     put = F.concat(F.transform(found, lambda v: F.coalesce(F.element_at(F.col(m), v), v)), F.array(F.lit("")))
