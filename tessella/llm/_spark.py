@@ -5,11 +5,13 @@ from __future__ import annotations
 import gc
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder, as in tests.
 LOCAL_SHARED = "/tmp/checkpoints/tessella"
+#: Rows up to which a table of single ids, or of pairs, is broadcast: some 25 MB as a hash table.
+BROADCAST_IDS, BROADCAST_PAIRS = 1_000_000, 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,14 +35,20 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 class Table:
-    """A DataFrame written once to the shared folder, so that its lineage is cut and survives lost executors."""
+    """A DataFrame written once to the shared folder, so that its lineage is cut and survives lost executors; its rows are counted meanwhile."""
 
-    def __init__(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> None:
+    def __init__(self, df: DataFrame, name: str) -> None:
         self.spark = df.sparkSession
         self.path = new_path(self.spark, name)
-        writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(self.path)
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        self.rows: int = seen.get["rows"] if "rows" in seen.get else self.df.count()
+
+    def hinted(self) -> DataFrame:
+        """The rows, broadcast if they are few enough for their one or two columns of ids; else joins shuffle."""
+        limit = BROADCAST_IDS if len(self.df.columns) == 1 else BROADCAST_PAIRS
+        return F.broadcast(self.df) if self.rows <= limit else self.df
 
     def drop(self) -> None:
         drop_path(self.spark, self.path)
@@ -90,12 +98,3 @@ def splitters(keys: list[int], weights: list[int], parts: int) -> list[int]:
     k, w = np.array(keys, dtype=np.int64)[order], np.cumsum(np.array(weights, dtype=np.float64)[order])
     at = np.searchsorted(w, w[-1] * np.arange(1, parts) / parts, side="right")
     return sorted({int(x) for x in k[np.minimum(at, len(k) - 1)]} - {int(k[0])})
-
-
-#: Rows of a narrow table of ids (8 bytes each) up to which it is broadcast.
-BROADCAST_IDS = 2_000_000
-
-
-def ids_hint(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
-    """A stored table of ids, broadcast if it is counted to hold at most `limit` rows; else joins shuffle."""
-    return F.broadcast(ids) if ids.count() <= limit else ids

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import _words as W
 from ._graph import components
-from ._spark import Table, columns_or_null, ids_hint, small_batches
+from ._spark import Table, columns_or_null, small_batches
 
 SKETCH = 64
 WIDTH = 5
@@ -87,8 +87,8 @@ def full_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def _postings(reps: DataFrame, k: int, least: int) -> DataFrame:
     """(key, rep, n, alone): each class under its rarest retained values; alone: how many of them no other class has."""
     values = reps.select("rep", F.explode("sketch").alias("key"))
-    often = values.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    shared = values.join(often, "key").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("v"))
+    often = Table(values.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "often")
+    shared = values.join(often.df, "key").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("v"))
     shared = shared.join(reps.select("rep", "n", F.least("n", F.lit(k)).alias("m")), "rep")
     alone = F.col("m") - F.size("v")
     room = F.col("m") - F.greatest(F.lit(1), F.floor(F.col("m") * least / k)) + 1
@@ -156,10 +156,11 @@ def near_duplicates(docs: DataFrame, k: int = SKETCH, width: int = WIDTH, percen
     reps = Table(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     lists = Table(_postings(reps.df, k, least_overlap), "lists")
     pivots = lists.df.groupBy("key").agg(F.min(F.struct("alone", "rep")).alias("p"), F.count("*").alias("c")).where("c > 1").select("key", F.col("p.rep").alias("pivot"))
-    stars = lists.df.join(pivots, "key").where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+    pivots = Table(pivots, "pivots")
+    stars = lists.df.join(pivots.hinted(), "key").where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
     stars = Table(stars, "stars")
     wanted = Table(stars.df.select(F.col("a").alias("doc_id")).unionAll(stars.df.select("b")).distinct(), "wanted")
-    sets = full_sets(docs.join(ids_hint(wanted.df), "doc_id", "left_semi"), width)
+    sets = full_sets(docs.join(wanted.hinted(), "doc_id", "left_semi"), width)
     sets = Table(sets, "sets")
     links = Table(_verified(stars.df, sets.df, k, least_overlap, percent), "links")
     first = components(links.df)
@@ -171,10 +172,11 @@ def near_duplicates(docs: DataFrame, k: int = SKETCH, width: int = WIDTH, percen
         open_lists = narrowed
     more = _cross_links(open_lists.df, sets.df, percent)
     final = components(links.df.unionAll(more))
-    for t in (lists, stars, wanted, sets, links, first, open_lists):
+    for t in (lists, pivots, stars, wanted, sets, links, first, open_lists):
         t.drop()
     classes = reps.df.join(final.df, reps.df.rep == final.df.node, "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
-    joined = all_sketches.df.drop("sketch").join(classes, ["d1", "d2"], "left")
+    classes = Table(classes, "components")
+    joined = all_sketches.df.drop("sketch").join(classes.df, ["d1", "d2"], "left")
     component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
@@ -226,7 +228,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The documents, with all their columns, that near_duplicates() keeps; rows without a doc_id stay."""
     gone = f"gone_{uuid.uuid4().hex}"
     ids = Table(near_duplicates(docs).where("doc_id is not null and not kept").select(F.col("doc_id").alias(gone)), "gone")
-    return docs.join(ids_hint(ids.df), F.col("doc_id") == F.col(gone), "left_anti")
+    return docs.join(ids.hinted(), F.col("doc_id") == F.col(gone), "left_anti")
 
 
 _WORDS8 = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
