@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import _words as W
 from ._recompress import recompress
-from ._spark import Table, columns_or_null, ids_hint, small_batches
+from ._spark import Table, columns_or_null, small_batches
 
 WINDOW = 50
 ROUNDS = 5
@@ -157,12 +157,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
     small_batches(docs.sparkSession)
     docs = columns_or_null(docs, doc_id="long", text="string")
     all_docs = Table(docs.mapInArrow(_digests, "doc_id long, n_words long, d1 long, d2 long, sha string"), "digests")
-    heads = all_docs.df.where("n_words > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("head"))
-    named = all_docs.df.join(heads, ["d1", "d2"], "left").select("doc_id", "n_words", "sha", "head")
+    heads = all_docs.df.where("n_words > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    heads = Table(heads, "heads")
+    named = all_docs.df.join(heads.df, ["d1", "d2"], "left").select("doc_id", "n_words", "sha", "head")
     named = Table(named, "named")
     all_docs.drop()
+    heads.drop()
     copies = named.df.where(f"head < doc_id and n_words >= {window}").select("doc_id")
-    searched = docs.where("doc_id is not null").join(ids_hint(copies), "doc_id", "left_anti")
+    copies = Table(copies, "copies")
+    searched = docs.where("doc_id is not null").join(copies.hinted(), "doc_id", "left_anti")
     symbols = searched.mapInArrow(_symbols(window, rounds, share), "name long, doc_id long")
     symbols = Table(symbols, "symbols").settle()
     shared = symbols.df.groupBy("name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
