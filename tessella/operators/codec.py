@@ -140,7 +140,7 @@ def decode_frame(stream: bytes, width: int, height: int, quality: int = 50) -> b
 
 
 def encode_images(frames: DataFrame, decode: bool = False) -> DataFrame:
-    """(frame_id, stream, error) of frames (frame_id, width, height, quality, data); decode adds `decoded`."""
+    """(frame_id, original_size, stream, error) of frames (frame_id, width, height, quality, data); decode adds `decoded`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -148,11 +148,11 @@ def encode_images(frames: DataFrame, decode: bool = False) -> DataFrame:
             for r in rows.itertuples(index=False):
                 error = check_frame(r.data, r.width, r.height)
                 stream = None if error else encode_frame(r.data, r.width, r.height, r.quality)
-                out.append((r.frame_id, stream, error, decode_frame(stream, r.width, r.height, r.quality) if decode and stream is not None else None))
-            frame = pd.DataFrame(out, columns=["frame_id", "stream", "error", "decoded"])
+                out.append((r.frame_id, 0 if error else r.width * r.height, stream, error, decode_frame(stream, r.width, r.height, r.quality) if decode and stream is not None else None))
+            frame = pd.DataFrame(out, columns=["frame_id", "original_size", "stream", "error", "decoded"])
             yield frame if decode else frame.drop(columns="decoded")
 
-    return frames.select("frame_id", "width", "height", "quality", "data").mapInPandas(run, "frame_id long, stream binary, error string" + ", decoded binary" * decode)
+    return frames.select("frame_id", "width", "height", "quality", "data").mapInPandas(run, "frame_id long, original_size long, stream binary, error string" + ", decoded binary" * decode)
 
 
 # Audio.
@@ -313,8 +313,8 @@ def motion(frames: DataFrame, window: int = 8) -> DataFrame:
     return pairs.select("video_id", "frame_no", "width", "height", "data", "ref").mapInPandas(run, "video_id int, frame_no long, block int, dx int, dy int, sad long, residual array<int>")
 
 
-def compression_report(coded: DataFrame, original: str, compressed: str, key: str) -> DataFrame:
+def compression_report(coded: DataFrame, key: str, original_size: str = "original_size", compressed: str = "stream") -> DataFrame:
     """(key, is_completed, original_size, compressed_size, compression_ratio, throughput_mbps, latency_ms); the last two are never measured and stay 0."""
-    before, after = F.octet_length(original).cast("long"), F.octet_length(compressed).cast("long")
+    before, after = F.col(original_size), F.octet_length(compressed).cast("long")
     ratio = F.when(before > 0, after / before).otherwise(0.0)
     return coded.select(key, F.col(compressed).isNotNull().alias("is_completed"), before.alias("original_size"), after.alias("compressed_size"), ratio.alias("compression_ratio"), F.lit(0.0).alias("throughput_mbps"), F.lit(0.0).alias("latency_ms"))
