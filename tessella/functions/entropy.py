@@ -182,7 +182,17 @@ class BitReader:
             raise ValueError("InvalidInput")
         return self.value >> (self.n - self.at - bits) & ((1 << bits) - 1)
 
+    def advance(self, bits: int) -> None:
+        if self.at + bits > self.n:
+            raise ValueError("InvalidInput")
+        self.at += bits
+
     def read(self, bits: int) -> int:
         out = self.peek(bits)
-        self.at += bits
+        self.advance(bits)
         return out
+
+
+def bits_to_bytes(bits: int) -> int:
+    """Whole bytes that hold so many bits."""
+    return -(-bits // 8)

@@ -116,6 +116,35 @@ def tempo(samples: DataFrame, rate: int, hop: int = HOP) -> DataFrame:
     return out.withColumn("music_detected", (F.col("bpm") > MUSIC_BPM) & (F.col("confidence") > MUSIC_CONFIDENCE))
 
 
+def clip_report(v: np.ndarray, rate: int, preset: str = "STRICT") -> dict:
+    """What moderate_audio() says about one clip, for clips that stay whole; an empty clip or no rate is safe."""
+    report = {"is_safe": True, "risk_score": 0.0, "violation_type": "NONE", "flagged": False, "corrupted": False, "bpm": 0.0}
+    if not len(v) or not rate:
+        return report
+    fine = np.isfinite(v)
+    bad = int((~fine).sum())
+    if bad > len(v) // 100 or bad == len(v):
+        return report | {"is_safe": False, "violation_type": "CORRUPTED_AUDIO", "corrupted": True}
+    frames = len(v) // HOP
+    if len(v) < rate or frames < 10:
+        return report
+    energy = np.sqrt((v[: frames * HOP].reshape(frames, HOP) ** 2).sum(axis=1) / HOP)
+    rise = np.diff(energy, prepend=0.0)
+    flux = np.where(rise > 0, rise, 0.0)
+    low, high = lag_range(rate, frames)
+    zero = float(flux @ flux)
+    values = [float(flux[:-k] @ flux[k:]) for k in range(low, high + 1)]
+    if not values or max(values) <= 0 or zero <= 0:
+        return report
+    best = int(np.argmax(values))
+    bpm, confidence = 60.0 * (rate / HOP) / (low + best), min(1.0, values[best] / zero)
+    report["bpm"] = bpm
+    rms = float(np.sqrt(np.mean(v[fine] ** 2)))
+    if bpm > MUSIC_BPM and confidence > MUSIC_CONFIDENCE and (preset == "STRICT" or rms > HIGH_RMS):
+        report |= {"is_safe": False, "risk_score": confidence, "violation_type": "MUSIC_DETECTED" if preset == "STRICT" else "HIGH_ENERGY_AUDIO", "flagged": True}
+    return report
+
+
 def moderate_audio(samples: DataFrame, rate: int, preset: str = "STRICT") -> DataFrame:
     """(clip_id, is_safe, risk_score, violation_type, flagged, corrupted, bpm); a corrupted clip is unsafe with risk 0 and without a tempo."""
     both = signal_quality(samples).join(tempo(samples, rate), "clip_id")
