@@ -164,15 +164,12 @@ def near_duplicates(docs: DataFrame, k: int = SKETCH, width: int = WIDTH, percen
     sets = Table(sets, "sets")
     links = Table(_verified(stars.df, sets.df, k, least_overlap, percent), "links")
     first = components(links.df)
-    open_lists = _open(lists.df, first.df)
-    for _ in range(2):
-        loners = _loners(open_lists.df, sets.df, percent)
-        narrowed = _open(open_lists.df.join(loners, "rep", "left_anti").select("key", "rep", "n"), first.df)
-        open_lists.drop()
-        open_lists = narrowed
+    mixed = _open(lists.df, first.df)
+    loners = _loners(mixed.df, sets.df, percent)
+    open_lists = _open(mixed.df.join(loners, "rep", "left_anti").select("key", "rep", "n"), first.df)
     more = _cross_links(open_lists.df, sets.df, percent)
     final = components(links.df.unionAll(more))
-    for t in (lists, pivots, stars, wanted, sets, links, first, open_lists):
+    for t in (lists, pivots, stars, wanted, sets, links, first, mixed, open_lists):
         t.drop()
     classes = reps.df.join(final.df, reps.df.rep == final.df.node, "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     classes = Table(classes, "components")
