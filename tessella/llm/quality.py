@@ -29,7 +29,7 @@ from ._spark import columns_or_null, small_batches
 from .language_id import fold
 
 #: Rows of the samples that the classifier is fitted to, at about these numbers.
-LABELLED, UNLABELLED = 12_000, 12_000
+LABELLED, UNLABELLED = 8_000, 8_000
 HIDDEN, EPOCHS, BATCH, RATE = 24, 40, 512, 3e-3
 #: Small samples are gone over until this many steps.
 LEAST_STEPS = 600
