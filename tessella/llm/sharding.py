@@ -15,6 +15,7 @@ A window never spans more than one range, so no task gets a whole shard.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,10 +58,13 @@ def ranges(keys: DataFrame, shards: int = SHARDS, fineness: float = FINENESS, sa
         if not wide or len(bounds) >= MOST_RANGES:
             break
         inside = ranged.where(f"array_contains({long_array([r['range'] for r in wide])}, cast(range as bigint))")
-        k, w = _drawn(inside, "h", sum(r["n"] for r in wide), sample)
+        k, w = (np.array(x, dtype=np.int64) for x in _drawn(inside, "h", sum(r["n"] for r in wide), sample))
+        order = np.argsort(k, kind="stable")
+        k, w = k[order], w[order]
         new = set(bounds)
         for r in wide:
-            own = [(a, b) for a, b in zip(k, w, strict=True) if r["lo"] <= a <= r["hi"]]
+            mine = slice(np.searchsorted(k, r["lo"]), np.searchsorted(k, r["hi"], side="right"))
+            own = list(zip(k[mine].tolist(), w[mine].tolist(), strict=True))
             cut = splitters([a for a, _ in own], [b for _, b in own], int(2 * r["b"] / limit) + 2)
             new |= set(cut) | {a + d for a, _ in _heavy(own, r["b"] / 4) for d in (0, 1) if r["lo"] < a + d <= r["hi"]} | {r["lo"] + 1}
         bounds = sorted(new)[:MOST_RANGES]
