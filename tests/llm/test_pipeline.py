@@ -7,6 +7,7 @@ import random
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -85,7 +86,7 @@ def test_query_equals_sql(spark, name):
     for t in "documents embeddings pages benchmark labels conversations".split():
         duck.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got, want = catalog.QUERIES[name](spark, SF).toPandas(), duck.sql(catalog.ORACLES[name]).df()
-    plain = lambda v: None if v is None or v != v else float(v) if isinstance(v, (int, float)) or hasattr(v, "dtype") and v.dtype.kind in "if" else v
+    plain = lambda v: None if pd.isna(v) else float(v) if isinstance(v, (int, float)) or hasattr(v, "dtype") and v.dtype.kind in "if" else v
     rows = lambda f: sorted(repr(tuple(plain(x) for x in r)) for r in f[sorted(want.columns)].astype(object).itertuples(index=False))
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
 
