@@ -46,6 +46,7 @@ def decide(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     sized = pages.select("page_id", "url", "html", F.octet_length(body).cast("long").alias("payload_bytes"), F.sha1(body).alias("payload_digest"))
     heads = sized.where(f"payload_bytes >= {least}").groupBy("payload_digest").agg(F.max("page_id").alias("head"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    heads = Table(heads, "heads").df
     again = F.col("page_id") < F.col("head")
     return sized.join(heads, "payload_digest", "left").select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("head")).alias("refers_to"))
 
@@ -222,6 +223,7 @@ def read_records(chunks: DataFrame) -> DataFrame:
     several = parts.repartition("page_id").sortWithinPartitions("page_id", "chunk").mapInArrow(_carried, "page_id long, payload_bytes long, payload_digest string, ok boolean")
     responses = single.unionAll(several)
     referred = responses.select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest", F.col("ok").alias("held")).dropDuplicates(["refers_to"])
+    referred = Table(referred.join(chunks.where("record_type = 'revisit'").select("refers_to").distinct(), "refers_to", "left_semi"), "referred").df
     revisits = chunks.where("record_type = 'revisit'").select("page_id", "refers_to", "digest").join(referred, "refers_to", "left")
     revisits = revisits.select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), "refers_to", F.coalesce(F.col("held") & (F.col("digest") == F.col("payload_digest")), F.lit(False)).alias("ok"))
     return responses.select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), "ok").unionAll(revisits)
