@@ -217,6 +217,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
     links = found.df.groupBy("rep").agg(F.sum("links").alias("links"))
     named = classes.df.select("d1", "d2", "rep", "n").join(links, "rep", "left").join(comps.df, F.col("rep") == F.col("node"), "left")
     named = named.select("d1", "d2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    named = Table(named, "named").df
     out = rows.select("vec_id", "d1", "d2").join(named, ["d1", "d2"], "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
