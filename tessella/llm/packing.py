@@ -29,7 +29,7 @@ LENGTH = 2048
 END = 1
 DIMENSIONS, BITS, TIE_BITS = 4, 10, 22
 #: Tokens of a range, and the most ranges there are.
-RANGE_TOKENS, MOST_RANGES = 4_000_000, 16_384
+RANGE_TOKENS, MOST_RANGES = 500_000, 16_384
 #: Rows of the sample that range boundaries come from, at about this number.
 SAMPLE = 50_000
 
