@@ -36,9 +36,10 @@ _TITLE = "(?:" + "|".join(sorted(_FEMALE + _MALE, key=lambda t: -len(t))) + r")"
 _BEFORE_SECRET = r"(?:token|secret|password|passwd|api_key|apikey|access_key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
 
 #: Type and pattern; an earlier one wins.  All begin where no letter or digit is before.
+#: Secrets have any length; their possessive runs never step back, so they stay linear.
 PATTERNS = {
     "email": r"(?<![._%+-])[\p{L}\p{N}._%+-]{1,128}@[\p{L}\p{N}-]{1,64}(?:\.[\p{L}\p{N}-]{1,64}){1,8}",
-    "secret": rf"(?:{_BEFORE_SECRET}[A-Za-z0-9_+/.~=-]{{8,512}}|" + r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|[0-9a-f]{40}|[0-9a-f]{64})(?![\p{L}\p{N}]))",
+    "secret": rf"(?:{_BEFORE_SECRET}[A-Za-z0-9_+/.~=-]{{8,}}+|" + r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}+|[0-9a-f]{40}|[0-9a-f]{64})(?![\p{L}\p{N}]))",
     "phone": r"(?<!\.)(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\p{L}\p{N}])",
     "ssn": r"(?<!-)\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
     "ip": r"(?<!\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)",
@@ -94,16 +95,16 @@ def _byte(stream: Column, i: Column) -> Column:
 
 
 def _letters(value: Column, stream: Column) -> Column:
-    """Every letter and digit replaced by one of its class, everything else kept."""
+    """Every letter and digit replaced by one of its class, everything else kept; in linear time, as secrets may be long."""
 
-    def one(i: Column) -> Column:
-        c, k = F.substring(value, i, F.lit(1)), _byte(stream, i - 1)
+    def one(c: Column, i: Column) -> Column:
+        k = _byte(stream, i)
         out = F.when(c.rlike(_ALPHABETS[0][0]), _pick(_ALPHABETS[0][1], k))
         for pattern, alphabet in _ALPHABETS[1:]:
             out = out.when(c.rlike(pattern), _pick(alphabet, k))
         return out.otherwise(c)
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), one), "")
+    return F.array_join(F.transform(F.split(value, ""), one), "")
 
 
 def _luhn(digits: Column) -> Column:
@@ -131,6 +132,11 @@ def _mod97(chars: Column) -> Column:
 def _candidate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     seed = F.concat(F.lit(key + "\n"), kind, F.lit("\n"), norm, F.lit("\n"), attempt.cast("string"), F.lit("\n"))
     stream = F.concat(*(F.sha2(F.concat(seed, F.lit(str(k))).cast("binary"), 256) for k in range(3)))
+    # A bound variable, or the digests would be made anew for each letter.
+    return F.element_at(F.transform(F.array(stream), lambda s: _from_stream(kind, norm, attempt, s)), 1)
+
+
+def _from_stream(kind: Column, norm: Column, attempt: Column, stream: Column) -> Column:
     plain = _letters(norm, stream)
     at = F.instr(norm, "@")
     top = F.substring_index(norm, ".", -1)

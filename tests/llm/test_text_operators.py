@@ -236,6 +236,18 @@ def test_surrogates(spark, no_docs):
     assert {r["kind"] for r in pii.detect(frame).collect()} == {"email", "phone", "ip", "card", "secret", "ssn", "name", "iban"}
 
 
+def test_long_secrets(spark):
+    rng = random.Random(14)
+    runs = {(n, kind): "".join(rng.choices("ABCXYZabcxyz0189" + ("" if kind == "sk" else "+/"), k=n)) for n in (64, 65, 512, 513, 600, 5000, 50_000) for kind in ("sk", "token")}
+    texts = {k: f"so sk-{v}, end" if k[1] == "sk" else f'so token = "{v}" end' for k, v in runs.items()}
+    frame = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    rows = pii.with_surrogates(frame, "key", count="n").orderBy("doc_id").collect()
+    assert [r["n"] for r in rows] == [1] * len(texts)
+    for ((n, kind), run), text in zip(runs.items(), [r["text"] for r in rows], strict=True):
+        got = re.fullmatch(r"so (?:sk-|[a-z]{2}-)([A-Za-z0-9]+), end" if kind == "sk" else r'so token = "([A-Za-z0-9+/]+)" end', text)[1]
+        assert len(got) == n and not any(run[k : k + 16] in got for k in range(0, n - 15, 8))
+
+
 def test_surrogates_stay_distinct(spark):
     values = spark.createDataFrame([("ssn", f"{k:03d}") for k in range(0, 1000, 8)] + [("email", f"{c}@b.org") for c in "abcdefghij"], "kind string, norm string")
     rows = pii.surrogate_table(values, rounds=200).df.collect()
