@@ -8,7 +8,8 @@ tokens and passwords, and names that follow a title.
 * A surrogate depends on a secret key, the type and the normalised value alone, so
   one person stays one person wherever the corpus names them (coreference).
 * It has the form of its original: digits for digits, letters of the same script
-  and case, the same separators; a card number stays valid or invalid; a given
+  and case, the same separators; secrets are found in either case, and hexadecimal
+  ones are the same value in both; a card number stays valid or invalid; a given
   name gets one of the gender that its title shows.
 * All distinct values of the corpus are checked: where two would share a
   surrogate, or one would be another's real value, a further attempt is drawn for
@@ -33,13 +34,15 @@ _FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Sign
 _MALE = ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Signor", "Господин", "господин", "Κύριος", "السيد")
 _TITLE = "(?:" + "|".join(sorted(_FEMALE + _MALE, key=lambda t: -len(t))) + r")"
 
-_BEFORE_SECRET = r"(?:token|secret|password|passwd|api_key|apikey|access_key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
+#: Such a secret is the same in either case.
+_HEXADECIMAL = "^[0-9A-Fa-f]+$"
+_BEFORE_SECRET = r"(?i:token|secret|password|passwd|api_key|apikey|access_key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
 
 #: Type and pattern; an earlier one wins.  All begin where no letter or digit is before.
 #: Secrets have any length; their possessive runs never step back, so they stay linear.
 PATTERNS = {
     "email": r"(?<![._%+-])[\p{L}\p{N}._%+-]{1,128}@[\p{L}\p{N}-]{1,64}(?:\.[\p{L}\p{N}-]{1,64}){1,8}",
-    "secret": rf"(?:{_BEFORE_SECRET}[A-Za-z0-9_+/.~=-]{{8,}}+|" + r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}+|[0-9a-f]{40}|[0-9a-f]{64})(?![\p{L}\p{N}]))",
+    "secret": rf"(?:{_BEFORE_SECRET}[A-Za-z0-9_+/.~=-]{{8,}}+|" + r"(?:(?i:AKIA)[0-9A-Za-z]{16}|(?i:gh[pousr])_[A-Za-z0-9]{36}|(?i:sk)-[A-Za-z0-9]{20,}+|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{64})(?![\p{L}\p{N}]))",
     "phone": r"(?<!\.)(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\p{L}\p{N}])",
     "ssn": r"(?<!-)\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
     "ip": r"(?<!\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)",
@@ -48,15 +51,16 @@ PATTERNS = {
     "name": rf"{_TITLE}\.? (?:(?=[\p{{Lu}}\p{{Lo}}]){_LETTER}{{2,40}})(?: (?=[\p{{Lu}}\p{{Lo}}]){_LETTER}{{2,40}}){{0,2}}",
 }
 PATTERN = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
-#: Every match holds a digit, an @, one of the words before a secret or after a title; a cheap test that most texts fail.
-_WORDS = ("token", "secret", "passw", "api_key", "apikey", "access_key", "AKIA", *(f"{t}{end}" for t in _FEMALE + _MALE for end in (" ", ".")))
+#: Every match holds a digit, an @, the start of a secret in any case or a title with what follows; a cheap test that most texts fail.
+_SECRET_HINT = "(?i)token|secret|passw|api_key|apikey|access_key|akia|gh[pousr]_|sk-[a-z]{20}|[a-f]{40}"
+_WORDS = tuple(f"{t}{end}" for t in _FEMALE + _MALE for end in (" ", "."))
 
 
 def hint(text: Column) -> Column:
     out = text.rlike("[0-9@]")
     for word in _WORDS:
         out = out | text.contains(word)
-    return out
+    return out | text.rlike(_SECRET_HINT)
 
 
 #: Letters that a letter of the same class may become.
@@ -188,7 +192,7 @@ def _parts(raw: Column, kind: Column) -> Column:
     words = F.filter(F.split(F.regexp_replace(raw, rf"^{_TITLE}\.? ", ""), " "), lambda w: w != "")
     names = F.transform(words, lambda w, i: F.struct(F.when(i < F.size(words) - 1, F.concat(F.lit("given_"), sex)).otherwise("surname").alias("kind"), F.lower(w).alias("norm")))
     raw = F.when(kind == "secret", F.regexp_replace(raw, f"^{_BEFORE_SECRET}", "")).otherwise(raw)
-    norm = F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(raw, "[^0-9]", "")).when(kind == "iban", F.replace(raw, F.lit(" "), F.lit(""))).when(kind == "email", F.lower(raw)).otherwise(raw)
+    norm = F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(raw, "[^0-9]", "")).when(kind == "iban", F.replace(raw, F.lit(" "), F.lit(""))).when((kind == "email") | ((kind == "secret") & raw.rlike(_HEXADECIMAL)), F.lower(raw)).otherwise(raw)
     return F.when(kind == "name", names).otherwise(F.array(F.struct(kind.alias("kind"), norm.alias("norm"))))
 
 
@@ -212,7 +216,11 @@ def _rendered(raw: Column, kind: Column, surrogates: Column) -> Column:
     head = F.regexp_extract(raw, rf"^({_TITLE}\.? )", 1)
     words = F.split(F.substring(raw, F.length(head) + 1, F.length(raw)), " ")
     name = F.concat(head, F.array_join(F.zip_with(words, surrogates, _like), " "))
-    secret = F.concat(F.regexp_extract(raw, f"^({_BEFORE_SECRET})", 1), one)
+    before = F.regexp_extract(raw, f"^({_BEFORE_SECRET})", 1)
+    own = F.substring(raw, F.length(before) + 1, F.length(raw))
+    mixed = F.array_join(F.zip_with(F.split(own, ""), F.split(one, ""), lambda a, b: F.when(a == F.lower(a), b).otherwise(F.upper(b))), "")
+    hexadecimal = F.when(own == F.upper(own), F.upper(one)).otherwise(mixed)
+    secret = F.concat(before, F.when(own.rlike(_HEXADECIMAL) & (own != F.lower(own)), hexadecimal).otherwise(one))
     return F.when(kind == "secret", secret).when(kind.isin("phone", "card", "ssn"), spaced("0-9")).when(kind == "iban", spaced("A-Z0-9")).when(kind == "email", cased).when(kind == "name", name).otherwise(one)
 
 

@@ -248,6 +248,20 @@ def test_long_secrets(spark):
         assert len(got) == n and not any(run[k : k + 16] in got for k in range(0, n - 15, 8))
 
 
+def test_secrets_in_upper_case(spark):
+    low, key, letters = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b", "hunterXYhunter", "sk-" + "abcdefghij" * 3
+    mixed = low[:20] + low[20:].upper()
+    texts = [f'token = "{low}"', f'TOKEN = "{low.upper()}"', f"Password: {key}", f"API_KEY={key}", low, low.upper(), letters.upper(), letters, mixed, "Secret: " + "abcdef" * 7]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii.with_surrogates(frame, "key", count="n").orderBy("doc_id").collect()
+    new = [r["text"] for r in rows]
+    assert [r["n"] for r in rows] == [1] * len(texts) and not any(a == b for a, b in zip(texts, new, strict=True))
+    assert re.fullmatch(r'token = "[0-9a-f]{40}"', new[0]) and new[1] == new[0].upper() and new[4] == new[0][9:-1] and new[5] == new[4].upper()
+    assert new[8].lower() == new[4] and new[8] not in (new[4], new[5])
+    assert new[2].split(" ")[1] == new[3].split("=")[1] and re.fullmatch("[a-z]{6}[A-Z]{2}[a-z]{6}", new[2].split(" ")[1])
+    assert new[2].startswith("Password: ") and new[3].startswith("API_KEY=") and re.fullmatch(r"[A-Z]{2}-[A-Z]{30}", new[6])
+
+
 def test_surrogates_stay_distinct(spark):
     values = spark.createDataFrame([("ssn", f"{k:03d}") for k in range(0, 1000, 8)] + [("email", f"{c}@b.org") for c in "abcdefghij"], "kind string, norm string")
     rows = pii.surrogate_table(values, rounds=200).df.collect()
