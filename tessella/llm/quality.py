@@ -222,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabell
     some = feature_rows(docs.join(chosen, "doc_id").select("quality", "text"), "quality").toPandas()
     rows = docs.count()
     free = docs.sample(min(1.0, 2 * unlabelled / max(rows, 1)), seed=19).join(columns_or_null(labels, doc_id="long").distinct(), "doc_id", "left_anti")
-    other = feature_rows(free.limit(unlabelled), "doc_id").toPandas()
+    other = feature_rows(free, "doc_id").orderBy(F.xxhash64("doc_id", "f")).limit(unlabelled).toPandas()
     x, y = np.stack([np.frombuffer(f, dtype=np.float32) for f in some["f"]]) if len(some) else np.zeros((0, N_FEATURES), np.float32), some["quality"].to_numpy()
     u = np.stack([np.frombuffer(f, dtype=np.float32) for f in other["f"]]) if len(other) else x
     if not (y == 1).any():

@@ -326,6 +326,17 @@ def test_quality(spark, no_docs):
     assert docs.where(F.col("doc_id") < 0).count() == 0
 
 
+def test_unlabelled_sample_spans_the_table(spark, monkeypatch):
+    texts = ["Good words here."] * 100 + ["### | ### |"] * 50
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    drawn, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda p, u, **more: drawn.append(u) or fit(p, u, **more))
+    assert quality.train(docs, spark.createDataFrame([(k, 1) for k in range(10)], "doc_id long, quality int"), unlabelled=80)
+    marks = drawn[0].std(axis=0).argmax()
+    last = max((drawn[0][:, marks] == v).sum() for v in np.unique(drawn[0][:, marks]))
+    assert len(drawn[0]) == 80 and 40 <= last <= 65
+
+
 def test_non_negative_risk_separates():
     rng = np.random.default_rng(0)
     positive, negative = rng.normal(1, 1, (800, 5)), rng.normal(-1, 1, (800, 5))
