@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import os
 import random
@@ -136,22 +137,63 @@ def test_warc(spark):
             want[i] = (len(b), hashlib.sha1(b).hexdigest(), "revisit" if again else "response", head if again else None, True)
         assert got == want
         path = warc.write_warc(frame, part=part)
-        texts = {}
+        data = {}
         for r in warc.read_pages(spark, path).collect():
-            texts.setdefault(r["page_id"], {})[r["chunk"]] = r["text"]
-        assert {i: "".join(t for _, t in sorted(c.items())) for i, c in texts.items()} == {i: h or "" for i, _, h in pages() if want[i][2] == "response"}
+            data.setdefault(r["page_id"], {})[r["chunk"]] = bytes(r["data"])
+        assert {i: b"".join(t for _, t in sorted(c.items())).decode() for i, c in data.items()} == {i: h or "" for i, _, h in pages() if want[i][2] == "response"}
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archive_and_read(empty).count() == 0
 
 
+def test_warc_repeated_rows_null_ids_and_bad_bytes(spark):
+    """Rows that share a page_id, with equal payloads or others, stay records of their own."""
+    a, b, bad = b"a" * 200_000, "bé" * 90_000, b"<p>\xff\xfe" * 400
+    rows = [(1, a), (1, a), (2, a), (2, a), (3, b.encode()), (3, b"c" * 150_000), (3, b.encode()), (None, a), (None, a), (4, bad), (5, bad), (6, b"\xff"), (7, b"\xff"), (7, b"\xff")]
+    frame = spark.createDataFrame([(i, b"u\xff", bytearray(h)) for i, h in rows], "page_id long, url binary, h binary").selectExpr("page_id", "cast(url as string) as url", "cast(h as string) as html")
+    want = []
+    for i, h in rows:
+        head = max(j for j, g in rows if g == h and j is not None)
+        again = len(h) >= 1000 and i is not None and i < head
+        want.append((str(i), len(h), hashlib.sha1(h).hexdigest(), "revisit" if again else "response", str(head) if again else "None", True))
+    for part in (65_536, 1001):
+        got = warc.archive_and_read(frame, part=part).collect()
+        assert sorted((str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], str(r["refers_to"]), r["ok"]) for r in got) == sorted(want)
+    path = warc.write_warc(frame, part=1001)
+    payloads = {}
+    for r in warc.read_pages(spark, path).collect():
+        payloads.setdefault((r["page_id"], r["record"]), {})[r["chunk"]] = bytes(r["data"])
+    assert sorted((str(k[0]), b"".join(c[n] for n in sorted(c))) for k, c in payloads.items()) == sorted((str(i), h) for (i, h), w in zip(rows, want, strict=True) if w[3] == "response")
+
+
 def test_warc_damage(spark, tmp_path):
-    head = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:1>\r\nWARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(b"good").digest()).decode() + "\r\nContent-Length: 4\r\n\r\n"
+    head = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nX-Page-ID: 1\r\nWARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(b"good").digest()).decode() + "\r\nContent-Length: 4\r\n\r\n"
     (tmp_path / "part-0.txt").write_bytes(head.encode() + b"evil\r\n\r\n")
     assert [r["ok"] for r in warc.read_records(warc.read_chunks(spark, str(tmp_path))).collect()] == [False]
     with pytest.raises(ValueError):
         list(warc.parse_warc(head.encode() + b"ev"))
 
 
+def test_warc_missing_segments(spark):
+    chunk = lambda record, n, total, data, so_far: (record, 1, "u", "response" if n == 1 else "continuation", True, n, total, hashlib.sha1(b"abcd").hexdigest() if n == 1 else None, hashlib.sha1(so_far).hexdigest(), None, data)
+    rows = [chunk("whole", 1, -1, b"ab", b"ab"), chunk("whole", 2, 4, b"cd", b"abcd"), chunk("no end", 1, -1, b"ab", b"ab"), chunk("no start", 2, 4, b"cd", b"abcd")]
+    frame = spark.createDataFrame(rows, warc._CHUNKS)
+    assert sorted(r["ok"] for r in warc.read_records(frame).collect()) == [False, False, True]
+
+
+def test_warc_of_others(spark, tmp_path):
+    """One gzip member a record, header names in lower case, urn:uuid ids, HTTP headers, other record types."""
+    body = b"<html>hi</html>"
+    head = lambda kind, block, *more: "\r\n".join(["WARC/1.0", f"warc-type: {kind}", "warc-record-id: <urn:uuid:0f2e>", *more, f"content-length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    digest = "warc-payload-digest: sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
+    records = [head("warcinfo", b"software: x"), head("request", b"GET / HTTP/1.1\r\n\r\n"), head("response", http, digest, "content-type: application/http; msgtype=response", "warc-target-uri: http://x.example/"), head("response", b"plain")]
+    (tmp_path / "CC.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    chunks = warc.read_chunks(spark, str(tmp_path), "*.warc.gz")
+    assert [r["record_type"] for r in chunks.collect()] == ["warcinfo", "request", "response", "response"]
+    got = warc.read_records(chunks).collect()
+    assert sorted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["ok"]) for r in got) == sorted([(None, len(body), hashlib.sha1(body).hexdigest(), True), (None, 5, hashlib.sha1(b"plain").hexdigest(), True)])
+
+
 def check_shards(rows, docs, shards):
     assert sorted((r["doc_id"] or -1, r["size"], r["text_crc32"]) for r in rows) == sorted((i or -1, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in docs)
     for k in range(shards):
