@@ -56,6 +56,7 @@ class _Powers:
 
 
 _BYTES = _Powers(_BASE)
+_BYTES_AGAIN = _Powers(0xC2B2AE3D27D4EB4F | 1)
 
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -80,6 +81,12 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         i = j
 
 
+def strings(values: list[bytes]) -> pa.Array:
+    """A string column of these bytes, valid UTF-8 or not."""
+    a = pa.array(values, pa.binary())
+    return pa.Array.from_buffers(pa.string(), len(a), a.buffers(), offset=a.offset)
+
+
 def spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and the first word of each text (with an end mark)."""
     if len(buf) == 0:
@@ -97,11 +104,11 @@ def spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """One 64-bit hash for each word; with lower, A-Z count as a-z."""
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, second: bool = False) -> np.ndarray:
+    """One 64-bit hash for each word; with lower, A-Z count as a-z; second gives another, independent of the first."""
     if len(starts) == 0:
         return np.zeros(0, dtype=np.uint64)
-    up, down = _BYTES.get(len(buf) + 1)
+    up, down = (_BYTES_AGAIN if second else _BYTES).get(len(buf) + 1)
     sums = np.zeros(len(buf) + 1, dtype=np.uint64)
     values = (_LOWER[buf] if lower else buf).astype(np.uint64)
     values += _U(1)

@@ -7,12 +7,15 @@
    that range, every other occurrence of the window has the symbol too.
 2. A symbol in one document only proves that no window around it repeats.  A
    fixed share of the symbols, chosen by name, is counted over all documents.
-3. The windows that no such symbol rules out are verified: their 96-bit hashes
-   are grouped, and the smallest document of each group keeps the words.
+3. The windows that no such symbol rules out are verified: two hashes of their
+   words, 96 bits from two independent names of each word, are grouped, and the
+   smallest document of each group keeps the words.
 4. Words of windows that also start in a smaller document are removed.
 
 Documents with equal word sequences are one class; only its smallest document is
 searched, as every other member loses all its words if it has a window at all.
+Rows are told apart by doc_id and, where a doc_id stands in rows with different
+texts, by a hash of the text besides, the variant; so repeated rows stay apart.
 """
 
 from __future__ import annotations
@@ -28,13 +31,16 @@ from pyspark.sql import functions as F
 
 from . import _words as W
 from ._recompress import recompress
-from ._spark import Table, columns_or_null, small_batches
+from ._spark import BROADCAST_IDS, BROADCAST_PAIRS, Table, columns_or_null, small_batches
 
 WINDOW = 50
 ROUNDS = 5
 #: One of so many symbol names is counted.
 SHARE = 2
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
+_WINDOW_COLUMNS = ["doc_id", "variant", "at", "h1", "h2", "text"]
+#: What tells rows apart.
+_ROW = ["doc_id", "variant"]
 
 
 def _joined(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
@@ -43,7 +49,7 @@ def _joined(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n_words, d1, d2, sha): the digest of each text's words, and their SHA-256 as kept whole."""
+    """(doc_id, h, n_words, d1, d2, sha): the digest of each text's words, and their SHA-256 as kept whole."""
     for batch in batches:
         n, sha = [], []
         for i, j, buf, offsets in W.slices(batch.column("text")):
@@ -53,7 +59,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n.append(b - a)
                 sha.append(hashlib.sha256(_joined(buf, starts[a:b], ends[a:b])).digest())
         d = np.frombuffer(b"".join(sha), dtype=np.int64).reshape(-1, 4)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([x.hex() for x in sha], pa.string())], names=["doc_id", "n_words", "d1", "d2", "sha"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([x.hex() for x in sha], pa.string())], names=["doc_id", "h", "n_words", "d1", "d2", "sha"])
 
 
 def _parsed(batch: pa.RecordBatch, window: int, rounds: int, share: int):
@@ -66,20 +72,20 @@ def _parsed(batch: pa.RecordBatch, window: int, rounds: int, share: int):
 
 
 def _symbols(window: int, rounds: int, share: int):
-    """(name, doc_id): the distinct counted symbols of each text."""
+    """(name, doc_id, variant): the distinct counted symbols of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, variants = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "variant"))
             for i, _, _, _, _, _, _, name, _, _, text in _parsed(batch, window, rounds, share):
-                rows = pd.DataFrame({"name": name, "doc_id": ids[i + text]}).drop_duplicates()
+                rows = pd.DataFrame({"name": name, "doc_id": ids[i + text], "variant": variants[i + text]}).drop_duplicates()
                 yield pa.RecordBatch.from_pandas(rows, preserve_index=False)
 
     return run
 
 
 def _windows(window: int, rounds: int, share: int):
-    """Rows for windows that no symbol rules out (doc_id, at, h1, h2), and one with the text for each document that has some.
+    """Rows for windows that no symbol rules out (doc_id, variant, at, h1, h2), and one with the text for each document that has some.
 
     flags: per text, the names of its symbols that also occur in smaller (low) and in larger documents (high).
     """
@@ -91,9 +97,9 @@ def _windows(window: int, rounds: int, share: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("text")
-            sides = [batch.column(c) for c in ("low", "high")]
-            for i, j, _, _, _, firsts, words, name, cx, cy, text in _parsed(batch, window, rounds, share):
+            ids, variants = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "variant"))
+            texts, sides = batch.column("text"), [batch.column(c) for c in ("low", "high")]
+            for i, j, buf, starts, ends, firsts, words, name, cx, cy, text in _parsed(batch, window, rounds, share):
                 n = len(words)
                 shut = []
                 for side in sides:
@@ -113,19 +119,19 @@ def _windows(window: int, rounds: int, share: int):
                 if not len(at):
                     continue
                 owner = np.searchsorted(firsts, at, side="right") - 1
-                h = [W.window_hashes(words, window, b)[at] for b in _BASES]
+                h = [W.window_hashes(w, window, b)[at] for w, b in zip((words, W.word_hashes(buf, starts, ends, second=True)), _BASES, strict=True)]
                 place = pa.array((at - firsts[owner]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i + owner]), place, pa.array(h[0].astype(np.int64)), pa.array((h[1] >> np.uint64(32)).astype(np.int32)), pa.nulls(len(at), pa.string())], names=["doc_id", "at", "h1", "h2", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i + owner]), pa.array(variants[i + owner]), place, pa.array(h[0].astype(np.int64)), pa.array((h[1] >> np.uint64(32)).astype(np.int32)), pa.nulls(len(at), pa.string())], names=_WINDOW_COLUMNS)
                 losing = np.unique(owner[~shut[0][at]])
                 if len(losing):
                     z = pa.array(np.full(len(losing), -1, dtype=np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i + losing]), z, z.cast(pa.int64()), z, texts.take(pa.array(i + losing))], names=["doc_id", "at", "h1", "h2", "text"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i + losing]), pa.array(variants[i + losing]), z, z.cast(pa.int64()), z, texts.take(pa.array(i + losing))], names=_WINDOW_COLUMNS)
 
     return run
 
 
 def _kept(window: int):
-    """(doc_id, n_removed, kept): what is left of each text without the words of windows that start at `cut`."""
+    """(doc_id, variant, n_removed, kept): what is left of each text without the words of windows that start at `cut`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,8 +144,8 @@ def _kept(window: int):
                     step = np.bincount(at, minlength=b - a + 1) - np.bincount(at + window, minlength=b - a + 1)
                     gone = np.cumsum(step)[: b - a] > 0
                     removed.append(int(gone.sum()))
-                    kept.append(_joined(buf, starts[a:b][~gone], ends[a:b][~gone]).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_removed", "kept"])
+                    kept.append(_joined(buf, starts[a:b][~gone], ends[a:b][~gone]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("variant"), pa.array(removed, pa.int64()), W.strings(kept)], names=[*_ROW, "n_removed", "kept"])
 
     return run
 
@@ -150,42 +156,55 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
     A word is a run of bytes other than 0x20 and 0x09-0x0D.  Words covered by a window
     of `window` words whose sequence also starts in a document with a smaller doc_id
     are removed, judged on the input.  Repeats inside one document count for nothing.
-    Null and empty texts have no words.  Each doc_id must stand in one row; rows
-    without a doc_id come back whole.  Other columns are ignored.  An empty table
-    gives no rows.
+    Null and empty texts have no words.  Rows that repeat a doc_id, with equal texts or
+    others, each come back and are judged each on its own text; as their doc_id is
+    not smaller they take no words from one another.  Rows without a doc_id come back
+    whole and take no words either.  Other columns are ignored.  An empty table gives
+    no rows.
     """
     small_batches(docs.sparkSession)
-    docs = columns_or_null(docs, doc_id="long", text="string")
-    all_docs = Table(docs.mapInArrow(_digests, "doc_id long, n_words long, d1 long, d2 long, sha string"), "digests")
+    docs = columns_or_null(docs, doc_id="long", text="string").withColumn("h", F.xxhash64("text"))
+    all_docs = Table(docs.mapInArrow(_digests, "doc_id long, h long, n_words long, d1 long, d2 long, sha string"), "digests")
+    several = all_docs.df.where("doc_id is not null").groupBy("doc_id").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x < y").select(F.col("doc_id").alias("several"))
+    several = Table(several, "several")
+
+    def told_apart(rows: DataFrame) -> DataFrame:
+        if not several.rows:
+            return rows.withColumn("variant", F.lit(0).cast("long")).drop("h")
+        joined = rows.join(several.hinted(), F.col("doc_id") == F.col("several"), "left")
+        return joined.withColumn("variant", F.when(F.col("several").isNotNull(), F.col("h")).otherwise(F.lit(0).cast("long"))).drop("h", "several")
+
     heads = all_docs.df.where("n_words > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     heads = Table(heads, "heads")
-    named = all_docs.df.join(heads.df, ["d1", "d2"], "left").select("doc_id", "n_words", "sha", "head")
+    named = told_apart(all_docs.df).join(heads.df, ["d1", "d2"], "left").select(*_ROW, "n_words", "sha", "head")
     named = Table(named, "named")
     all_docs.drop()
     heads.drop()
-    copies = named.df.where(f"head < doc_id and n_words >= {window}").select("doc_id")
-    copies = Table(copies, "copies")
-    searched = docs.where("doc_id is not null").join(copies.hinted(), "doc_id", "left_anti")
-    symbols = searched.mapInArrow(_symbols(window, rounds, share), "name long, doc_id long")
+    is_copy = F.coalesce((F.col("head") < F.col("doc_id")) & (F.col("n_words") >= window), F.lit(False))
+    copies = Table(named.df.where(is_copy).select(*_ROW).distinct(), "copies")
+    searched = told_apart(docs.where("doc_id is not null"))
+    few = copies.rows <= (BROADCAST_PAIRS if several.rows else BROADCAST_IDS)
+    gone = copies.df if several.rows else copies.df.select("doc_id")
+    searched = searched.join(F.broadcast(gone) if few else gone, gone.columns, "left_anti")
+    symbols = searched.mapInArrow(_symbols(window, rounds, share), "name long, doc_id long, variant long")
     symbols = Table(symbols, "symbols").settle()
     shared = symbols.df.groupBy("name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     low, high = F.col("least") < F.col("doc_id"), F.col("most") > F.col("doc_id")
-    flags = symbols.df.join(shared, "name").groupBy("doc_id").agg(F.collect_list(F.when(low, F.col("name"))).alias("low"), F.collect_list(F.when(high, F.col("name"))).alias("high"))
+    flags = symbols.df.join(shared, "name").groupBy(*_ROW).agg(F.collect_set(F.when(low, F.col("name"))).alias("low"), F.collect_set(F.when(high, F.col("name"))).alias("high"))
     flags = Table(flags, "flags").settle()
     symbols.drop()
-    windows = searched.join(flags.df, "doc_id", "left").select("doc_id", "text", "low", "high").mapInArrow(_windows(window, rounds, share), "doc_id long, at int, h1 long, h2 int, text string")
+    windows = searched.join(flags.df, _ROW, "left").select(*_ROW, "text", "low", "high").mapInArrow(_windows(window, rounds, share), "doc_id long, variant long, at int, h1 long, h2 int, text string")
     windows = Table(windows, "windows").settle()
     flags.drop()
-    places = windows.df.where("at >= 0").select("doc_id", "at", "h1", "h2")
+    places = windows.df.where("at >= 0").select(*_ROW, "at", "h1", "h2")
     least = places.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     least = Table(least, "least").settle()
-    cuts = places.join(least.df, ["h1", "h2"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_list("at").alias("cut"))
-    cut = windows.df.where("at < 0").select("doc_id", "text").join(cuts, "doc_id").select("doc_id", "text", "cut").mapInArrow(_kept(window), "doc_id long, n_removed long, kept string")
-    cut = Table(cut, "cut").settle()
+    cuts = places.join(least.df, ["h1", "h2"]).where("doc_id > least").groupBy(*_ROW).agg(F.collect_set("at").alias("cut"))
+    cut = windows.df.where("at < 0").select(*_ROW, "text").join(cuts, _ROW).select(*_ROW, "text", "cut").mapInArrow(_kept(window), "doc_id long, variant long, n_removed long, kept string")
+    cut = Table(cut.dropDuplicates(_ROW), "cut").settle()
     windows.drop()
     least.drop()
-    is_copy = (F.col("head") < F.col("doc_id")) & (F.col("n_words") >= window)
-    out = named.df.join(cut.df, "doc_id", "left")
+    out = named.df.join(cut.df, _ROW, "left")
     removed = F.when(is_copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
     kept = F.when(is_copy, F.lit("")).otherwise(F.col("kept"))
     return out.select("doc_id", "n_words", removed.alias("n_removed"), kept.alias("kept"), F.coalesce(F.sha2(kept.cast("binary"), 256), F.col("sha")).alias("kept_sha256"))

@@ -100,6 +100,39 @@ def test_substring_texts_and_null_ids(spark):
     assert {(r["doc_id"], r["n_removed"], r["kept"]) for r in got} == {(1, 0, None), (2, 60, "a b c"), (3, 60, ""), (None, 0, None)}
 
 
+def test_substring_repeated_rows(spark):
+    """Rows that share a doc_id, with equal texts or others, stay apart and take no words from one another."""
+    rng = random.Random(15)
+    passage, other = prose(rng, 60), prose(rng, 55)
+    long = " ".join(prose(rng, 30) + passage + prose(rng, 9))
+    rows = [(5, long), (5, long), (5, " ".join(passage)), (3, " ".join(other)), (3, " ".join(other)), (3, " ".join(other + passage)), (8, " ".join(prose(rng, 4) + other)), (8, " ".join(prose(rng, 4) + passage)), (9, long), (9, long), (9, None), (9, None), (4, ""), (4, "a b")]
+    rows += [(6, " ".join(prose(rng, 80)))] * 3
+    rows += [(None, long), (None, long)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    first = {}
+    for i, t in rows:
+        w = words(t)
+        for k in range(len(w) - 49):
+            if i is not None:
+                first[tuple(w[k : k + 50])] = min(i, first.get(tuple(w[k : k + 50]), i))
+    want = []
+    for i, t in rows:
+        w = words(t)
+        gone = {k + d for k in range(len(w) - 49) if i is not None and first[tuple(w[k : k + 50])] < i for d in range(50)}
+        want.append((str(i), len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()))
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == sorted(want)
+
+
+def test_bad_utf8(spark):
+    """Bytes that are no UTF-8 count as parts of words and are kept as they are."""
+    passage = b" ".join(b"\xff%d" % k for k in range(60))
+    frame = spark.createDataFrame([(1, bytearray(passage)), (2, bytearray(passage + b" \xfe end")), (3, bytearray(passage))], "doc_id long, b binary").selectExpr("doc_id", "cast(b as string) as text")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(frame).collect()}
+    assert got == {1: (60, 0, hashlib.sha256(passage).hexdigest()), 2: (62, 60, hashlib.sha256(b"\xfe end").hexdigest()), 3: (60, 60, hashlib.sha256(b"").hexdigest())}
+    near = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash_dedup.near_duplicates(frame).collect()}
+    assert near == {1: (56, 1), 2: (58, 1), 3: (56, 1)}
+
+
 def test_symbols_depend_on_their_range_only():
     rng = np.random.default_rng(5)
     common = rng.integers(0, 6, 200).astype(np.uint64)
