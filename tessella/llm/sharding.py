@@ -24,8 +24,10 @@ from ._spark import Table, columns_or_null, long_array, range_of, splitters
 SHARDS = 40
 #: Ranges are to hold at most this share of a shard's bytes.
 FINENESS = 1 / 64
-#: Keys drawn for a round of boundaries, at about this number; the most ranges there are.
-SAMPLE, MOST_RANGES = 40_000, 16_384
+#: Keys drawn for a round of boundaries, at about this number.
+SAMPLE = 40_000
+#: Ranges aimed at, at most, unless the shards themselves are more than a quarter of it.
+AIM = 16_384
 ROW_BYTES = 16
 
 
@@ -38,24 +40,30 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def _drawn(keys: DataFrame, key: str, rows: int, sample: int) -> tuple[list[int], list[int]]:
     """A sample of about `sample` keys with their sizes as weights; its bound doesn't depend on the data."""
-    got = keys.select(F.col(key).alias("k"), "size").sample(min(1.0, sample / max(rows, 1)), seed=11).limit(4 * sample).collect()
+    got = keys.select(F.col(key).alias("k"), "size").sample(min(1.0, sample / max(rows, 1)), seed=11).collect()
     return [r["k"] for r in got], [r["size"] for r in got]
 
 
-def ranges(keys: DataFrame, shards: int = SHARDS, fineness: float = FINENESS, sample: int = SAMPLE, rounds: int = 6) -> tuple[str, str, list[tuple[int, int, int, int]]]:
-    """SQL for a record's range and for its part of a range, and (range, part, rows, bytes) of all of these in order."""
+def ranges(keys: DataFrame, shards: int = SHARDS, fineness: float = FINENESS, sample: int = SAMPLE, aim: int = AIM) -> tuple[str, str, list[tuple[int, int, int, int]]]:
+    """SQL for a record's range and for its part of a range, and (range, part, rows, bytes) of all of these in order.
+
+    With many shards ranges are a larger share of one, so that about `aim` ranges, or four a shard, do.
+    Every range over its limit is subdivided until none is left but those of one single key.
+    """
     rows, total = keys.agg(F.count("*"), F.sum("size")).first()
     total = total or 0
+    fineness = max(fineness, min(0.5, 2 * shards / aim))
     limit = max(1, int(total / shards * fineness))
-    bounds = splitters(*_drawn(keys, "h", rows, sample), min(MOST_RANGES, int(2 / fineness * shards))) if total else []
+    sample = max(sample, int(4 / fineness * shards))
+    bounds = splitters(*_drawn(keys, "h", rows, sample), int(2 / fineness * shards)) if total else []
     lot = 2 * limit
     hot: dict[int, tuple[int, int]] = {}
-    for _ in range(rounds):
+    while True:
         ranged = keys.withColumn("range", F.expr(range_of("h", bounds)))
         sums = ranged.groupBy("range").agg(F.sum("size").alias("b"), F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("n")).collect()
         wide = [r for r in sums if r["b"] > limit and r["lo"] < r["hi"]]
         hot = {r["range"]: (r["b"], r["n"]) for r in sums if r["b"] > lot and r["lo"] == r["hi"] and r["n"] > 1}
-        if not wide or len(bounds) >= MOST_RANGES:
+        if not wide:
             break
         inside = ranged.where(f"array_contains({long_array([r['range'] for r in wide])}, cast(range as bigint))")
         k, w = (np.array(x, dtype=np.int64) for x in _drawn(inside, "h", sum(r["n"] for r in wide), sample))
@@ -66,8 +74,8 @@ def ranges(keys: DataFrame, shards: int = SHARDS, fineness: float = FINENESS, sa
             mine = slice(np.searchsorted(k, r["lo"]), np.searchsorted(k, r["hi"], side="right"))
             own = list(zip(k[mine].tolist(), w[mine].tolist(), strict=True))
             cut = splitters([a for a, _ in own], [b for _, b in own], int(2 * r["b"] / limit) + 2)
-            new |= set(cut) | {a + d for a, _ in _heavy(own, r["b"] / 4) for d in (0, 1) if r["lo"] < a + d <= r["hi"]} | {r["lo"] + 1}
-        bounds = sorted(new)[:MOST_RANGES]
+            new |= set(cut) | {a + d for a, _ in _heavy(own, r["b"] / 4) for d in (0, 1) if r["lo"] < a + d <= r["hi"]} | {r["lo"] + 1, (r["lo"] + r["hi"] + 1) // 2}
+        bounds = sorted(new)
     part = _parts(keys.withColumn("range", F.expr(range_of("h", bounds))), hot, lot, sample)
     found = keys.withColumn("range", F.expr(range_of("h", bounds))).withColumn("part", F.expr(part))
     table = sorted((r["range"], r["part"], r["n"], r["b"]) for r in found.groupBy("range", "part").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect())
@@ -91,9 +99,9 @@ def _parts(ranged: DataFrame, hot: dict[int, tuple[int, int]], lot: int, sample:
     own = ranged.where(f"array_contains({long_array(sorted(hot))}, cast(range as bigint))").select("range", F.expr(d).alias("d"), "size")
     rows = sum(n for _, n in hot.values())
     drawn: dict[int, list[tuple[int, int]]] = {k: [] for k in hot}
-    for r in own.sample(min(1.0, sample / max(rows, 1)), seed=13).limit(4 * sample).collect():
+    for r in own.sample(min(1.0, sample / max(rows, 1)), seed=13).collect():
         drawn[r["range"]].append((r["d"], r["size"]))
-    cases = [f"when {k} then {range_of(d, cut)}" for k, (b, _) in sorted(hot.items()) if (cut := splitters([x for x, _ in drawn[k]], [w for _, w in drawn[k]], min(MOST_RANGES, -(-b // lot))))]
+    cases = [f"when {k} then {range_of(d, cut)}" for k, (b, _) in sorted(hot.items()) if (cut := splitters([x for x, _ in drawn[k]], [w for _, w in drawn[k]], -(-b // lot)))]
     return f"case range {' '.join(cases)} else 0 end" if cases else "0"
 
 
@@ -102,11 +110,20 @@ def assign(docs: DataFrame, shards: int = SHARDS, fineness: float = FINENESS, sa
 
     Shards 0 to shards-1 have nearly equal sums of size; slots of a shard run from 0
     without gaps.  Equal texts share a shard unless they are larger than a range, a
-    small share of a shard; then they fill neighbouring shards in the order of doc_id.
+    small share of a shard; then they fill neighbouring shards in the order of doc_id.  So
+    shards differ by a range's bytes at most, or by those of one doc_id's equal texts.
     Null texts count as empty.  Repeated rows each get a slot; rows without a doc_id
     are placed by their text alone.  Other columns are ignored.  An empty table gives no rows.
     """
     keys = Table(keyed(docs), "keys").df
+    place, shard_of, before = _places(keys, shards, fineness, sample)
+    order = Window.partitionBy("place").orderBy("h", "doc_id", "text_crc32")
+    slot = F.expr(f"{long_array(before)}[place]") + F.row_number().over(order) - 1
+    return place(keys).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.expr(f"cast({long_array(shard_of)}[place] as int)").alias("shard"), slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _places(keys: DataFrame, shards: int, fineness: float, sample: int):
+    """A function that adds a row's place, the number of its range and part, to rows with h and doc_id; each place's shard, and the rows before it there."""
     range_sql, part_sql, table = ranges(keys, shards, fineness, sample)
     total = sum(t[3] for t in table)
     shard_of, before, done, count, last = [], [], 0, 0, -1
@@ -118,17 +135,27 @@ def assign(docs: DataFrame, shards: int = SHARDS, fineness: float = FINENESS, sa
         before.append(count)
         count, done = count + n, done + size
     codes = [(r << 20) | p for r, p, _, _ in table]
-    placed = keys.withColumn("range", F.expr(range_sql)).withColumn("part", F.expr(part_sql))
-    placed = placed.withColumn("place", F.expr(range_of("(shiftleft(cast(range as bigint), 20) | cast(part as bigint))", codes)) - 1)
-    order = Window.partitionBy("place").orderBy("h", "doc_id", "text_crc32")
-    slot = F.expr(f"{long_array(before)}[place]") + F.row_number().over(order) - 1
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.expr(f"cast({long_array(shard_of)}[place] as int)").alias("shard"), slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
+    def place(rows: DataFrame) -> DataFrame:
+        placed = rows.withColumn("range", F.expr(range_sql)).withColumn("part", F.expr(part_sql))
+        return placed.withColumn("place", F.expr(range_of("(shiftleft(cast(range as bigint), 20) | cast(part as bigint))", codes)) - 1)
+
+    return place, shard_of, before
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Writes the documents as Parquet, a folder for each shard."""
-    placed = assign(docs, shards).select("doc_id", "shard").where("doc_id is not null").dropDuplicates(["doc_id"])
-    docs.join(placed, "doc_id").write.partitionBy("shard").parquet(path)
+
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, column: str = "shard", fineness: float = FINENESS, sample: int = SAMPLE) -> None:
+    """Writes the documents as Parquet, all rows and columns, a folder `column`=k for each shard, as assign() places them.
+
+    A row's shard follows from its text and doc_id alone, so nothing is joined: repeated
+    rows, null texts and rows without a doc_id are all written.  An empty table gives
+    an empty folder.  A column named as the folders is an error.
+    """
+    if column.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the documents have a column {column}")
+    place, shard_of, _ = _places(Table(keyed(docs), "keys").df, shards, fineness, sample)
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"))
+    shard = F.expr(f"cast({long_array(shard_of)}[place] as int)") if shard_of else F.lit(0)
+    place(own).select("row.*", shard.alias(column)).write.partitionBy(column).parquet(path)
 
 
 def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -226,6 +226,37 @@ def test_write_shards(spark, tmp_path):
     assert back.count() == 200 and back.select("shard").distinct().count() == 4 and len(os.listdir(tmp_path / "s")) >= 4
 
 
+def test_write_shards_keeps_every_row(spark, odd_docs, no_docs, tmp_path):
+    """Null ids and texts, repeated rows, two texts under one id, and columns with the names used inside."""
+    rows = [(None, "a", "x"), (None, "a", "x"), (1, "b", "x"), (1, "b", "x"), (1, "c", "y"), (2, None, "x"), (3, "", None)] + [(10 + k % 40, "hot " * 50, "h") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, place string").withColumns({"range": F.lit(1), "part": F.lit("p"), "h": F.lit(None).cast("string")})
+    sharding.write_shards(docs, str(tmp_path / "s"), 5)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    plain = lambda f: sorted(map(repr, f.select(*docs.columns).collect()))
+    assert plain(back) == plain(docs)
+    want = {}
+    for r in sharding.assign(docs, 5).collect():
+        want.setdefault((r["doc_id"], r["text_crc32"]), set()).add(r["shard"])
+    assert all(r["shard"] in want[r["doc_id"], zlib.crc32((r["text"] or "").encode())] for r in back.collect())
+    sharding.write_shards(no_docs, str(tmp_path / "none"), 5)
+    with pytest.raises(ValueError):
+        sharding.write_shards(docs.withColumn("Shard", F.lit(1)), str(tmp_path / "x"))
+
+
+def test_more_ranges_than_aimed_at(spark):
+    """Many shards, a small sample and heavy texts: no boundary is given up, so all ranges but those of one text are small."""
+    rng = random.Random(18)
+    docs = [(k, " ".join(prose(rng, rng.randrange(1, 40)))) for k in range(4000)] + [(5000 + k, f"heavy {k} " * 400) for k in range(20)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    keys = sharding.keyed(frame).cache()
+    total = sum(len(t.encode()) + 16 for _, t in docs)
+    for shards, aim in ((300, 64), (300, 16_384)):
+        _, _, table = sharding.ranges(keys, shards, sample=50, aim=aim)
+        limit = total / shards * max(1 / 64, min(0.5, 2 * shards / aim))
+        assert sum(t[2] for t in table) == len(docs) and all(size <= limit or n == 1 for _, _, n, size in table)
+    check_shards(sharding.assign(frame, shards=300, sample=50).collect(), docs, 300)
+
+
 PERSONAL = [
     (1, "Write to anna.b@mail.example.com or Anna.B@mail.example.com, call +1 (017) 555-7713."),
     (2, "anna.b@mail.example.com again; phone 017-555-7713, host 10.20.30.40, card 4539 1488 0343 6467."),
