@@ -71,6 +71,53 @@ def test_near_null_ids_and_repeated_rows(spark):
     assert sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in got) == [("7", "7", True), ("7", "7", True), ("9", "7", False), ("None", "None", False), ("None", "None", False)]
 
 
+def test_keep_one_of_repeated_rows(spark):
+    text, other = (" ".join(prose(random.Random(k), 40)) for k in (1, 2))
+    rows = [(1, text, "a"), (1, text, "a"), (2, text + " end", "b"), (2, text, "c"), (3, other, "d"), (3, text, "e"), (4, None, "f"), (4, "", "f"), (5, other, "g"), (5, other, "g"), (None, text, "h"), (None, text, "h"), (6, "x y", "i"), (6, "x y", "i"), (6, "z", "j")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, doc string").withColumnRenamed("doc", "kept")
+    got = minhash_dedup.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"] or "", r["kept"]) for r in got.collect()) == sorted([("1", text, "a"), ("3", other, "d"), ("4", "", "f"), ("None", text, "h"), ("None", text, "h"), ("6", "x y", "i"), ("6", "z", "j")])
+
+
+def test_two_texts_under_one_id(spark):
+    """Each row has the component of its own text, also where lists span components."""
+    rng = random.Random(23)
+    base = prose(rng, 100)
+    rows = []
+    for k in range(60):
+        b = list(base)
+        for _ in range(rng.randrange(2, 8)):
+            b[rng.randrange(len(b))] = rng.choice(["new", "other", f"w{rng.randrange(9)}"])
+        rows.append((k % 40, " ".join(b)))
+    rows += rows[:7] + [(50 + k, t) for k, (_, t) in enumerate(rows[5:45:4])]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sets = [(i, shingles(t)) for i, t in rows]
+    label = {}
+    for i, s in sets:
+        label[s] = min(i, label.get(s, i))
+    each = list(label)
+    links = [(label[s], label[t]) for a, s in enumerate(each) for t in each[a + 1 :] if 100 * len(s & t) >= 75 * len(s | t)]
+    comp = closure(set(label.values()), links)
+    want = [(i, len(s), comp[label[s]]) for i, s in sets]
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(want)
+
+
+def test_blocks_are_bounded(spark, monkeypatch):
+    """Texts of many sizes in one bundle, in small blocks: no link is lost."""
+    rng = random.Random(31)
+    base, rows = prose(rng, 400), []
+    for k in range(300):
+        b = base[: rng.choice([60, 90, 120, 200, 400])]
+        for _ in range(rng.randrange(len(b) // 40, len(b) // 12)):
+            b[rng.randrange(len(b))] = rng.choice(["new", "other", f"w{rng.randrange(5)}"])
+        rows.append((k, " ".join(b)))
+    met, cross = [], minhash_dedup._cross_links
+    monkeypatch.setattr(minhash_dedup, "_cross_links", lambda lists, sets, percent: met.append(1) or cross(lists, sets, percent, block=20, block_shingles=4000))
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert met and {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == brute_near(rows)
+
+
 def brute_repeats(rows, width=50):
     first = {}
     for i, t in sorted(rows):
