@@ -1,9 +1,12 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import embedding_dedup, minhash_dedup, substring_dedup
 from tessella.llm._graph import components
@@ -11,6 +14,8 @@ from tessella.llm._recompress import recompress
 
 from .conftest import corpus, prose, words
 
+SF = "/root/testdata/sf0.001"
+
 
 def closure(ids, links):
     root = {i: i for i in ids}
@@ -228,17 +233,74 @@ def brute_vectors(rows, cosine=0.98):
     return {i: (n[i], comp[i], comp[i] == i) for i in n}
 
 
+def found_of(rows):
+    return {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in rows}
+
+
 def test_embeddings(spark):
     rows = vectors()
     frame = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, rep string")
     want = brute_vectors(rows)
     assert sum(v[0] for v in want.values()) > 500
-    for leaf, block in ((512, 1024), (40, 16)):
-        got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(frame, leaf=leaf, block=block).collect()}
+    assert found_of(embedding_dedup.near_duplicates(frame).collect()) == want
+    for more in ({"block": 16}, {"sample": 40}, {"cuts": 30}, {"leaf": 300}):
+        got = found_of(embedding_dedup.near_duplicates(frame, **more).collect())
         found, there = sum(v[0] for v in got.values()), sum(v[0] for v in want.values())
-        assert all(got[i][0] <= want[i][0] for i in want) and found >= 0.99 * there
-        if leaf == 512:
-            assert got == want
+        assert all(got[i][0] <= want[i][0] for i in want) and found >= 0.99 * there, more
+
+
+def grown(spark, frame, **more):
+    classes = frame.selectExpr("cast(label as string) as label", "size(embedding) as dim", "vec_id as node", "embedding as v")
+    cells = classes.groupBy("label", "dim").agg(F.count("*").alias("classes"))
+    return embedding_dedup.forests_of(classes, cells, **more)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_forest_on_the_smallest_table(spark):
+    """Every label's trees all have several leaves, and recall of links at the defaults is whole."""
+    frame = spark.read.parquet(f"{SF}/embeddings.parquet")
+    forests, sizes = grown(spark, frame)
+    leaves = {}
+    for r in sizes.df.collect():
+        leaves.setdefault((r["label"], r["leaf"] >> 48), []).append(r["n"])
+    assert len(forests) == frame.select("label").distinct().count() > 1
+    assert len(leaves) == embedding_dedup.TREES * len(forests) and all(len(n) > 2 for n in leaves.values())
+    rows = [(r["vec_id"], list(r["embedding"]), r["label"]) for r in frame.collect()]
+    want, got = brute_vectors(rows), found_of(embedding_dedup.near_duplicates(frame).collect())
+    assert got == want
+
+
+def test_forest_of_a_large_label(spark):
+    """8,000 vectors around 1,500 centres and 2,000 in one dense spot: trees of many levels, grown in rounds, leave bounded leaves but for the spot."""
+    rng = np.random.default_rng(8)
+    dim = 32
+    centres = rng.standard_normal((1500, dim))
+    x = centres[rng.integers(1500, size=8000)] + 0.08 * rng.standard_normal((8000, dim))
+    spot = rng.standard_normal(dim) + 0.03 * rng.standard_normal((2000, dim))
+    both = np.concatenate([x, spot]).astype(np.float32)
+    frame = spark.createDataFrame([(k, v.tolist(), "one") for k, v in enumerate(both)], "vec_id long, embedding array<float>, label string")
+    _, sizes = grown(spark, frame, sample=300)
+    n = np.array([r["n"] for r in sizes.df.collect()])
+    assert len(n) > 4 * 30 and n.sum() < 4 * 8 * len(both) and np.sort(n)[-40:].max() < 7000 and np.median(n) <= 200
+    rows = embedding_dedup.near_duplicates(frame, sample=300).collect()
+    unit = both.astype(float) / np.linalg.norm(both.astype(float), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    np.fill_diagonal(near, False)
+    got = np.zeros(len(both), dtype=int)
+    for r in rows:
+        got[r["vec_id"]] = r["n_links"]
+    assert (got <= near.sum(axis=1)).all() and got.sum() >= 0.99 * near.sum()
+    comp = closure(range(len(both)), zip(*np.nonzero(np.triu(near))))
+    assert np.mean([comp[r["vec_id"]] == r["component_id"] for r in rows]) >= 0.99
+
+
+def test_embeddings_repeated_rows_and_labels_of_text(spark):
+    """Rows that share a vec_id have their own vectors' links; labels are compared as text."""
+    a, b, c = [1.0, 0.0, 2.0], [0.0, 1.0, 0.0], [1.0, 0.01, 2.0]
+    rows = [(1, a, "x"), (1, a, "x"), (1, b, "x"), (2, c, "x"), (3, b, "x"), (4, b, "y"), (4, b, "y"), (5, a, None)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    want = [(1, 2, 1, True), (1, 2, 1, True), (1, 1, 1, True), (2, 2, 1, False), (3, 1, 1, False), (4, 1, 4, True), (4, 1, 4, True), (5, 0, 5, True)]
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == sorted(want)
 
 
 def test_embeddings_repeat_and_empty(spark):
