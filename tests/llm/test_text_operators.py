@@ -8,14 +8,14 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import decontamination, language_id, packing, pii, quality, sharding, warc
 
-from .conftest import corpus, prose
-from .test_dedup import shingles
+from .conftest import corpus, prose, words
 
 
 def items():
@@ -38,24 +38,54 @@ def leaky():
     return rows
 
 
+def runs(text, width):
+    w = words(text, lower=True)
+    return {tuple(w[k : k + width]) for k in range(len(w) - width + 1)}
+
+
+def brute_contained(docs, bench):
+    """(doc_id, item_id, shingles, common) of all pairs, an item of fewer than five words being one run of its own width."""
+    out = []
+    for k, u in bench:
+        width = min(5, len(words(u)))
+        wanted = runs(u, width) if width else set()
+        out += [(i, k, len(wanted), len(wanted & own)) for i, t in docs if wanted and 100 * len(wanted & (own := runs(t, width))) >= 75 * len(wanted)]
+    return sorted(out, key=repr)
+
+
 def test_contained_items(spark):
-    want = sorted((i, k, len(q), len(q & s)) for i, t in leaky() for k, u in items() if (q := shingles(u)) and 100 * len(q & (s := shingles(t))) >= 75 * len(q))
-    docs = spark.createDataFrame([(*r, "x") for r in leaky()], "doc_id long, text string, item_id string")
-    bench = spark.createDataFrame(items(), "item_id long, text string")
-    for limit in (1_000_000, 60):
-        got = decontamination.contained_items(docs, bench, block_shingles=limit).collect()
-        assert sorted((r["doc_id"], r["item_id"], r["n_shingles"], r["n_common"]) for r in got) == want
-        clean = {r["doc_id"] for r in decontamination.decontaminate(docs, bench, block_shingles=limit).collect()}
-        assert clean == {i for i, _ in leaky()} - {w[0] for w in want}
+    rows = leaky() + [(30_000, "So the answer is FORTY and\nthe same"), (30_000, "the same twice: the same"), (None, "one two three four five"), (30_001, "one two three  four"), (30_002, "one"), (30_003, "tw one two three")]
+    bench = items() + [(94, "answer is forty"), (95, "One"), (None, "one two"), (96, "one two one two")]
+    want = brute_contained(rows, bench)
+    assert {95, None, 92, 93, 94} <= {w[1] for w in want}
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, item_id string")
+    table = spark.createDataFrame(bench, "item_id long, text string")
+    for limit, most in ((1_000_000, 20), (60, 20), (1_000_000, None)):
+        got = decontamination.contained_items(docs, table, block_shingles=limit, most=most).collect()
+        assert sorted(((r["doc_id"], r["item_id"], r["n_shingles"], r["n_common"]) for r in got), key=repr) == want
+        clean = decontamination.decontaminate(docs, table, block_shingles=limit, most=most).collect()
+        leaks = {(w[0]) for w in want}
+        assert sorted((repr(r["doc_id"]), r["text"] or "") for r in clean) == sorted((repr(i), t or "") for i, t in rows if not (i in leaks and brute_contained([(i, t)], bench)))
     none = spark.createDataFrame([], "item_id long, text string")
-    assert decontamination.contained_items(docs, none).count() == 0 and decontamination.decontaminate(docs, none).count() == len(leaky())
-    assert decontamination.contained_items(docs.limit(0), bench).count() == 0
+    assert decontamination.contained_items(docs, none).count() == 0 and decontamination.decontaminate(docs, none).count() == len(rows)
+    assert decontamination.contained_items(docs.limit(0), table).count() == 0
+
+
+def test_decontamination_sql_finds_short_items():
+    duck = duckdb.connect()
+    docs = [r for r in leaky()[:60] if r[0] is not None] + [(30_000, "So the answer is FORTY and\nthe same"), (30_001, "one two three  four"), (30_002, "one"), (30_004, "")]
+    bench = [r for r in items() if r[0] != 93] + [(94, "answer is forty"), (95, "One"), (96, "one two one two")]
+    for name, key, rows in (("documents", "doc_id", docs), ("benchmark", "item_id", bench)):
+        duck.sql(f"create table {name} ({key} bigint, text varchar)")
+        duck.executemany(f"insert into {name} values (?, ?)", rows)
+    got = duck.sql(f"select doc_id, item_id, n_shingles, n_common from ({decontamination.SQL})").fetchall()
+    assert sorted(got, key=repr) == brute_contained(docs, bench)
 
 
 def test_contained_spans(spark):
     item = "a1 b2 c3 d4 e5 f6 g7"
-    got = decontamination.contained_items(spark.createDataFrame([(1, f"x y {item} z")], "doc_id long, text string"), spark.createDataFrame([(5, item)], "item_id long, text string")).first()
-    assert (got["first_word"], got["end_word"]) == (2, 9)
+    got = decontamination.contained_items(spark.createDataFrame([(1, f"x y {item} z")], "doc_id long, text string"), spark.createDataFrame([(5, item), (6, "g7 z")], "item_id long, text string")).collect()
+    assert {(r["item_id"], r["first_word"], r["end_word"]) for r in got} == {(5, 2, 9), (6, 8, 10)}
 
 
 def rebuilt(rows, length):
