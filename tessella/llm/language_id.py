@@ -13,26 +13,27 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._spark import columns_or_null, small_batches
+from ._spark import Table, columns_or_null, small_batches
 
 DIMENSIONS = 1024
 GRAM = 3
-#: Training texts of a language, at about this number, and the most languages learned.
-PER_LANGUAGE, MOST_LANGUAGES = 1500, 500
+#: Training texts of a language, at about this number.
+PER_LANGUAGE = 1500
 #: Steepness of the score.
 SHARPNESS = 12.0
-_TOP = 0x20000
+_TOP = 0x110000
 _TABLE: list[np.ndarray] = []
 _VECTORS: dict[tuple[int, int], np.ndarray] = {}
 
 
 def _folded() -> np.ndarray:
-    """Lower-case letter of each code point, 0 for what is no letter."""
+    """Lower-case letter of each code point of all planes, 0 for what is no letter by its category."""
     if not _TABLE:
         t = np.zeros(_TOP, dtype=np.uint32)
         for k in range(_TOP):
@@ -63,7 +64,7 @@ def _symbols(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     except UnicodeDecodeError:
         texts = [np.frombuffer(raw[a:b].decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         points, text = np.concatenate(texts), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    s = np.where(points < _TOP, _folded()[np.minimum(points, _TOP - 1)], points)
+    s = _folded()[points]
     keep = np.ones(len(s), dtype=bool)
     keep[1:] = (s[1:] != 0) | (s[:-1] != 0) | (text[1:] != text[:-1])
     return s[keep], text[keep]
@@ -112,14 +113,19 @@ def bundles(buf: np.ndarray, offsets: np.ndarray, dims: int = DIMENSIONS, gram:
     return out / np.where(norm > 0, norm, 1), lettered
 
 
-def _training(rows: DataFrame, per_language: int, most: int) -> DataFrame:
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count")).limit(most).collect()
-    return rows.sampleBy("lang", {r["lang"]: min(1.0, per_language / r["count"]) for r in counts}, seed=5)
+def _training(rows: DataFrame, per_language: int, key: str) -> DataFrame:
+    """About `per_language` rows of each language, chosen by a hash of their key and text, so that a stage run again gets the same."""
+    counts = Table(rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(per_language) / F.count("*")).alias("rate")), "rates")
+    chance = F.pmod(F.xxhash64(key, "text"), F.lit(1 << 30)) / float(1 << 30)
+    return rows.join(counts.hinted(), "lang").where(chance < F.col("rate")).select("lang", "text")
 
 
-def prototypes(rows: DataFrame, dims: int = DIMENSIONS, gram: int = GRAM, per_language: int = PER_LANGUAGE, most: int = MOST_LANGUAGES) -> dict[str, np.ndarray]:
-    """Prototype of each language of (text, lang), from a bounded sample of its texts."""
+def prototypes(rows: DataFrame, dims: int = DIMENSIONS, gram: int = GRAM, per_language: int = PER_LANGUAGE, key: str | None = None) -> dict[str, np.ndarray]:
+    """Prototype of each language of (text, lang), from a bounded sample of its texts.
 
+    All languages are learned, at 8 KB each.  Rows without a language or a text are left
+    out, as are texts without a letter.  key: a column that tells equal texts apart.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -132,11 +138,13 @@ def prototypes(rows: DataFrame, dims: int = DIMENSIONS, gram: int = GRAM, per_la
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["lang", "v"])
 
-    drawn = _training(rows.where("lang is not null and text is not null"), per_language, most).coalesce(32)
-    parts = drawn.select("lang", "text").mapInArrow(run, "lang string, v binary").collect()
-    total: dict[str, np.ndarray] = {}
-    for r in parts:
-        total[r["lang"]] = total.get(r["lang"], 0) + np.frombuffer(r["v"], dtype=np.float64)
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(v, dtype=np.float64) for v in rows["v"]], axis=0)
+        return pd.DataFrame({"lang": rows["lang"].iloc[:1], "v": [total.tobytes()]})
+
+    drawn = Table(_training(rows.where("lang is not null and text is not null"), per_language, key or "lang"), "training")
+    parts = drawn.df.mapInArrow(run, "lang string, v binary").groupBy("lang").applyInPandas(add, "lang string, v binary").collect()
+    total = {r["lang"]: np.frombuffer(r["v"], dtype=np.float64) for r in parts}
     return {k: v / np.linalg.norm(v) for k, v in sorted(total.items()) if np.linalg.norm(v) > 0}
 
 
@@ -177,6 +185,6 @@ def fold(doc_id: str, folds: int):
 def op7_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = columns_or_null(spark.read.parquet(f"{sf_dir}/documents.parquet"), doc_id="long", text="string", lang="string")
     small_batches(spark)
-    known = prototypes(docs.where(fold("doc_id", 3) != 1).select("text", "lang"))
+    known = prototypes(docs.where(fold("doc_id", 3) != 1), key="doc_id")
     out = predict(docs, known)
     return out.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")

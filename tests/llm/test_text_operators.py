@@ -393,6 +393,44 @@ def test_language(spark, no_docs):
     assert {r["lang_pred"] for r in language_id.predict(docs, {}).collect()} == {"und"}
 
 
+def brute_language(text, known, dims=language_id.DIMENSIONS):
+    """(language, score) by the definition, letter by letter."""
+    symbols = [ord(c.lower()[0]) if c.isalpha() else 0 for c in text or ""]
+    symbols = [s for k, s in enumerate(symbols) if s or k == 0 or symbols[k - 1]]
+    if not any(symbols):
+        return "und", 0.0
+    vector = {s: language_id.letter_vectors(np.array([s]), dims)[0].astype(float) for s in set(symbols)}
+    if len(symbols) < 3:
+        total = sum(vector[s] for s in symbols)
+    else:
+        total = sum(np.roll(vector[a], 2) * np.roll(vector[b], 1) * vector[c] for a, b, c in zip(symbols, symbols[1:], symbols[2:], strict=False))
+    total = total / (np.linalg.norm(total) or 1)
+    names, table = list(known), np.stack(list(known.values()))
+    table = table - table.mean(axis=0) if len(table) > 1 else table
+    cos = table / np.linalg.norm(table, axis=1, keepdims=True) @ total
+    odds = np.exp(language_id.SHARPNESS * (cos - cos.max()))
+    return names[int(cos.argmax())], float(1 / odds.sum())
+
+
+def test_language_equals_brute_force(spark):
+    rows = languages(90)
+    known = language_id.prototypes(spark.createDataFrame([r[1:] for r in rows[:50]], "text string, lang string"))
+    odd = ["\U000e0001\U000e0020", "\U000f0000", "\U00010400\U00010428 x", "\u00df\u0130", "1 2 3", "a1b2", "日本語 text", "\U0001f642", " b", "b ", None, "", "ab"]
+    docs = [(k, t) for k, t in enumerate([r[1] for r in rows[50:]] + odd)]
+    docs += docs[:3] + docs[-2:]
+    got = sorted((r["doc_id"], r["lang_pred"], round(r["score"], 4)) for r in language_id.predict(spark.createDataFrame(docs, "doc_id long, text string"), known).collect())
+    assert got == sorted((k, lang, round(score, 4)) for k, t in docs for lang, score in [brute_language(t, known)])
+    assert {r[1] for r in got if r[0] in (40, 41)} == {"und"}
+
+
+def test_every_language_is_learned(spark):
+    rows = [(f"{chr(0x4E00 + k)}{chr(0x4E00 + 2 * k)}{chr(0x5000 + k)} " * 3, f"l{k:04d}") for k in range(700)]
+    known = language_id.prototypes(spark.createDataFrame(rows * 2, "text string, lang string"), dims=64)
+    assert len(known) == 700
+    few = language_id.prototypes(spark.createDataFrame([(f"ba na {k}", "aa", k) for k in range(400)], "text string, lang string, id long"), dims=64, per_language=40, key="id")
+    assert list(few) == ["aa"]
+
+
 def test_bundles_are_sums_of_bound_letters():
     text = "abc ab"
     buf, offsets = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])
