@@ -6,9 +6,15 @@ non-negative unbiased risk: with class prior p and loss l,
     p E+[l(g)] + max(0, Eu[l(-g)] - p E+[l(-g)]),
 
 where a step that finds the second term negative goes up on it instead, as in the
-paper by Kiryo and others (2017).  The prior is estimated as the share of good
-texts among the trusted labels.  Trusted labels of both kinds then calibrate the
-outputs to probabilities.
+paper by Kiryo and others (2017).  Labels of bad texts are not used at all: they
+serve to measure the classifier.
+
+The class prior is estimated from positives and unlabelled texts by the best bin
+(Garg and others, 2021): of all cuts on a ranking score, that where the share of
+unlabelled texts above it is the smallest multiple of the share of held-out
+positives above it, with allowance for chance.  Networks fitted to one half of the
+positives rank, the other half is held out, and the shares count all unlabelled
+documents of the corpus.
 
 A text's features come from its bytes alone: frequencies of pairs of character
 classes, and how long, how varied and how repetitive its words and lines are.
@@ -25,12 +31,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._spark import columns_or_null, small_batches
+from ._spark import Table, columns_or_null, small_batches
 from .language_id import fold
 
 #: Rows of the samples that the classifier is fitted to, at about these numbers.
 LABELLED, UNLABELLED = 8_000, 8_000
 HIDDEN, EPOCHS, BATCH, RATE = 24, 40, 512, 3e-3
+#: Networks whose scores are averaged.
+NETWORKS = 3
+#: Cuts tried for the prior, the chance that the allowance is too small, and the bounds of the prior.
+CUTS, DOUBT, PRIORS = 512, 0.1, (0.05, 0.99)
 #: Small samples are gone over until this many steps.
 LEAST_STEPS = 600
 THRESHOLD = 0.3
@@ -119,7 +129,7 @@ def feature_rows(rows: DataFrame, *keep: str) -> DataFrame:
 
 @dataclass
 class Model:
-    """A network of one hidden layer on standardised features, and the calibration of its output."""
+    """A network of one hidden layer on standardised features."""
 
     mean: np.ndarray
     scale: np.ndarray
@@ -127,15 +137,24 @@ class Model:
     b1: np.ndarray
     w2: np.ndarray
     b2: float
-    slope: float = 1.0
-    shift: float = 0.0
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -6, 6)
         return np.maximum(z @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(x).astype(np.float64) + self.shift, -30, 30)))
+        return _sigmoid(self.raw(x).astype(np.float64))
+
+
+@dataclass
+class Committee:
+    """Networks that differ in their random start; the score is their mean, an estimate of the chance that a text is good."""
+
+    members: list[Model]
+    prior: float
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return np.mean([m.score(x) for m in self.members], axis=0)
 
 
 def _sigmoid(g: np.ndarray) -> np.ndarray:
@@ -160,7 +179,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
             h = np.maximum(x @ theta[0] + theta[1], 0)
             g = h @ theta[2] + theta[3][0]
             s, n = _sigmoid(g), len(a)
-            up, down = np.logaddexp(0, -g), np.logaddexp(0, g)
+            down = np.logaddexp(0, g)
             negative = down[n:].mean() - prior * down[:n].mean()
             grad = np.zeros_like(g)
             if negative >= 0:
@@ -168,7 +187,6 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
                 grad[n:] = s[n:] / len(b)
             else:
                 grad[:n], grad[n:] = prior * s[:n] / n, -s[n:] / len(b)
-            del up
             back = (grad[:, None] * theta[2]) * (h > 0)
             slopes = [x.T @ back + 1e-4 * theta[0], back.sum(axis=0), h.T @ grad + 1e-4 * theta[2], np.array([grad.sum()])]
             step += 1
@@ -179,58 +197,109 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
     return Model(mean, scale, theta[0], theta[1], theta[2], float(theta[3][0]))
 
 
-def calibrate(model: Model, x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD) -> Model:
-    """Slope and shift of the output from trusted labels of both kinds.
+def best_bin(above_unlabelled: np.ndarray, above_positive: np.ndarray, unlabelled: int, positive: int) -> float:
+    """The class prior from the shares of both kinds above each of the same cuts, and how many there are of each."""
+    allowance = np.sqrt(np.log(4 / DOUBT) / (2 * max(unlabelled, 1))) + np.sqrt(np.log(4 / DOUBT) / (2 * max(positive, 1)))
+    some = above_positive > 0
+    share = np.where(some, above_positive, 1.0)
+    bound = np.where(some, (above_unlabelled + allowance) / share, np.inf)
+    at = int(bound.argmin())
+    return float(np.clip(above_unlabelled[at] / share[at], *PRIORS))
 
-    The cut with the fewest errors, in the middle of all such, gets the score
-    `threshold`; the slope is that of a logistic regression through it.
-    """
-    if len(np.unique(y)) < 2:
-        return model
-    g = model.raw(x).astype(np.float64)
-    order = np.argsort(g, kind="stable")
-    v, t = g[order], y[order]
-    errors = np.concatenate([[0], np.cumsum(t == 1)]) + (t == 0).sum() - np.concatenate([[0], np.cumsum(t == 0)])
-    edge = np.concatenate([[v[0] - 1], (v[1:] + v[:-1]) / 2, [v[-1] + 1]])
-    errors[1:-1][v[1:] == v[:-1]] = len(y) + 1
-    best = np.flatnonzero(errors == errors.min())
-    cut, at = (edge[best[0]] + edge[best[-1]]) / 2, np.log(threshold / (1 - threshold))
-    z, a = (g - cut) / (g.std() + 1e-9), 1.0
-    for _ in range(50):
-        s = _sigmoid(a * z + at)
-        a -= np.clip((((s - y) * z).sum() + a - 1.0) / ((s * (1 - s) * z * z).sum() + 1.0), -1, 1)
-    model.slope = max(a, 0.1) / (g.std() + 1e-9)
-    model.shift = at - model.slope * cut
-    return model
-
-
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED, folds: int = 5, hidden: int = HIDDEN) -> Model | None:
-    """A model from labels (doc_id, quality) whose doc_id is not in fold 0, and from unlabelled documents; None without positives.
-
-    Both samples are bounded.  Labels are 1 (good) or 0; others and nulls are left out.
+
+def _cuts(scores: np.ndarray) -> np.ndarray:
+    return np.unique(np.quantile(scores, np.linspace(0, 1, CUTS)))
+
+
+def _above(scores: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """How many scores reach each of ascending cuts."""
+    return len(scores) - np.searchsorted(np.sort(scores), cuts, side="left")
+
+
+def _halves(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int) -> list[tuple[Model, np.ndarray, np.ndarray]]:
+    """For each half of the positives: a network fitted to it, cuts, and the share of the other half above each."""
+    out = []
+    for k in (0, 1):
+        model = fit(positive[k::2], unlabelled, prior=prior, hidden=hidden, seed=11 + k)
+        held = model.raw(positive[1 - k :: 2])
+        cuts = _cuts(held)
+        out.append((model, cuts, _above(held, cuts) / len(held)))
+    return out
+
+
+def _counts(docs: DataFrame, labelled: DataFrame, rankers: list) -> list[np.ndarray]:
+    """How many of all unlabelled documents reach each cut of each ranker; the last number is that of all of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = []
+            for _, _, buf, offsets in W.slices(batch.column("text")):
+                x = features(buf, offsets)
+                places.append(np.stack([np.searchsorted(cuts, m.raw(x), side="right") for m, cuts, _ in rankers]))
+            if places:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(p, pa.int32()) for p in np.concatenate(places, axis=1))], names=["doc_id", *(f"p{k}" for k in range(len(rankers)))])
+
+    placed = docs.mapInArrow(run, "doc_id long, " + ", ".join(f"p{k} int" for k in range(len(rankers)))).join(labelled, "doc_id", "left_anti")
+    both = placed.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"p{k}").alias("p")) for k in range(len(rankers))))).alias("x"))
+    out = [np.zeros(len(cuts) + 1, dtype=np.int64) for _, cuts, _ in rankers]
+    for r in both.groupBy("x.k", "x.p").count().collect():
+        out[r["k"]][r["p"]] = r["count"]
+    # Place p reaches the first p cuts.
+    return [np.append(n[::-1].cumsum()[::-1][1:], n.sum()) for n in out]
+
+
+def _matrix(rows) -> np.ndarray:
+    return np.stack([np.frombuffer(f, dtype=np.float32) for f in rows]) if len(rows) else np.zeros((0, N_FEATURES), np.float32)
+
+
+def _chance(*columns: str):
+    """A number from 0 to 1 drawn from a hash, the same whenever a stage runs again."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) / float(1 << 30)
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED, folds: int = 5, hidden: int = HIDDEN) -> Committee | None:
+    """A classifier from labels (doc_id, quality) whose doc_id is not in fold 0, and from unlabelled documents; None without positives.
+
+    Networks are fitted to about `labelled` positives and `unlabelled` documents without
+    a label, both chosen by hash; the class prior counts all documents without a label
+    (where all have one, these are the unlabelled ones).  Labels are 1 (good) or 0;
+    others and nulls are left out, as are labels of bad texts, and of repeated labels the
+    least holds.  Null and empty texts count as empty; documents without a doc_id have no
+    label; other columns are ignored; without documents or positives there is no model.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = columns_or_null(docs, doc_id="long", text="string")
-    known = columns_or_null(labels, doc_id="long", quality="int").where("quality in (0, 1) and doc_id is not null").where(fold("doc_id", folds) != 0).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
-    total = sum(counts.values())
-    if not counts.get(1):
+    ids = Table(columns_or_null(labels, doc_id="long", quality="int").where("doc_id is not null").groupBy("doc_id").agg(F.min(F.when(F.col("quality").isin(0, 1), F.col("quality"))).alias("quality")), "labels")
+    good = ids.df.where("quality = 1").where(fold("doc_id", folds) != 0).select("doc_id")
+    n_good, n_docs = good.count(), docs.count()
+    if not n_good or not n_docs:
         return None
-    chosen = known.where(F.rand(17) < labelled / total) if total > labelled else known
-    chosen = F.broadcast(chosen.orderBy(F.xxhash64("doc_id")).limit(2 * labelled))
-    some = feature_rows(docs.join(chosen, "doc_id").select("quality", "text"), "quality").toPandas()
-    rows = docs.count()
-    free = docs.sample(min(1.0, 2 * unlabelled / max(rows, 1)), seed=19).join(columns_or_null(labels, doc_id="long").distinct(), "doc_id", "left_anti")
-    other = feature_rows(free, "doc_id").orderBy(F.xxhash64("doc_id", "f")).limit(unlabelled).toPandas()
-    x, y = np.stack([np.frombuffer(f, dtype=np.float32) for f in some["f"]]) if len(some) else np.zeros((0, N_FEATURES), np.float32), some["quality"].to_numpy()
-    u = np.stack([np.frombuffer(f, dtype=np.float32) for f in other["f"]]) if len(other) else x
-    if not (y == 1).any():
+    chosen = Table(good.where(_chance("doc_id") < min(1.0, labelled / n_good)), "chosen")
+    x = _matrix(feature_rows(docs.join(chosen.hinted(), "doc_id"), "doc_id").toPandas()["f"])
+    rate = min(1.0, 2 * unlabelled / max(1, n_docs - ids.rows))
+    some = docs.where(F.col("doc_id").isNull() | (_chance("doc_id", "text") < rate))
+    some = Table(feature_rows(some, "doc_id"), "some")
+    wanted = Table(some.df.select("doc_id").distinct(), "wanted")
+    known = ids.df.join(wanted.hinted(), "doc_id", "left_semi").select("doc_id")
+    free = some.df.join(known, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id", "f")).limit(unlabelled).toPandas()["f"]
+    everything = not len(free)
+    u = _matrix(free if not everything else some.df.orderBy(F.xxhash64("doc_id", "f")).limit(unlabelled).toPandas()["f"])
+    if not len(x):
         return None
-    return calibrate(fit(x[y == 1], u, prior=counts[1] / total, hidden=hidden), x, y)
-
-
-def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+    prior = 0.5
+    if len(x) > 1:
+        for _ in range(2):
+            rankers = _halves(x, u, prior, hidden)
+            prior = float(np.mean([best_bin(_above(m.raw(u), cuts) / len(u), share, len(u), len(x) // 2) for m, cuts, share in rankers]))
+        rankers = _halves(x, u, prior, hidden)
+        none = ids.df.select("doc_id").where("false")
+        counts = _counts(docs, none if everything else ids.df.select("doc_id"), rankers)
+        prior = float(np.mean([best_bin(n[:-1] / max(n[-1], 1), share, n[-1], len(x) // 2) for n, (_, _, share) in zip(counts, rankers, strict=True)]))
+    return Committee([fit(x, u, prior=prior, hidden=hidden, seed=k + 1) for k in range(NETWORKS)], prior)
+
+
+def score(docs: DataFrame, model: Committee | None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, score (0 to 1), predicted (1 from the threshold on).
 
     Null and empty texts are scored as empty ones.  Without a model every score is 1.
@@ -249,8 +318,11 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
     return columns_or_null(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, score double, predicted int")
 
 
-def keep_good(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, with all their columns, that the model doesn't reject."""
+def keep_good(docs: DataFrame, model: Committee | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, with all their columns, that the model doesn't reject; without a model, all.
+
+    Null texts are judged as empty ones; repeated rows stay or go together; an empty table stays empty.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

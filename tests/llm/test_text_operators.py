@@ -478,6 +478,90 @@ def test_unlabelled_sample_spans_the_table(spark, monkeypatch):
     assert len(drawn[0]) == 80 and 40 <= last <= 65
 
 
+def test_prior_counts_all_unlabelled_documents(spark):
+    """Labels of bad texts change nothing; the prior is near the share of good texts among the documents without a label."""
+    rows, labels = graded(1500)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    make = lambda pairs: quality.train(docs, spark.createDataFrame(pairs, "doc_id long, quality int"))
+    one = make(labels)
+    named = dict(labels)
+    free = [t for k, t in rows if k not in named]
+    truth = np.mean([t[0].isupper() and t.endswith(".") and "##" not in t for t in free])
+    assert abs(one.prior - truth) < 0.12
+    # A label of a bad text only takes its document from the unlabelled ones, whatever it says.
+    two = make([(k, q if q else None) for k, q in labels])
+    assert two.prior == one.prior and all(np.array_equal(a.w1, b.w1) for a, b in zip(one.members, two.members, strict=True))
+
+
+def test_best_bin():
+    rng = np.random.default_rng(4)
+    for prior in (0.3, 0.8):
+        positive = rng.normal(2, 1, 4000)
+        unlabelled = np.concatenate([rng.normal(2, 1, int(20_000 * prior)), rng.normal(-2, 1, 20_000 - int(20_000 * prior))])
+        cuts = quality._cuts(positive)
+        share = lambda v: quality._above(v, cuts) / len(v)
+        assert abs(quality.best_bin(share(unlabelled), share(positive), len(unlabelled), len(positive)) - prior) < 0.05
+
+
+def test_counts_equal_brute_force(spark):
+    rows, _ = graded(200)
+    rows += [(None, "No id."), (3, "Twice."), (500, None)]
+    rng = np.random.default_rng(1)
+    x = quality.features(*buffers([t for _, t in rows]))
+    models = [quality.fit(x[rng.permutation(len(x))[:80]], x, prior=0.5, epochs=2) for _ in range(2)]
+    rankers = [(m, quality._cuts(m.raw(x[:50])) + 1e-3, None) for m in models]
+    labelled = [1, 2, 3, 10_000]
+    got = quality._counts(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k,) for k in labelled], "doc_id long"), rankers)
+    free = np.array([i not in labelled for i, _ in rows])
+    for (m, cuts, _), n in zip(rankers, got, strict=True):
+        raw = m.raw(x[free])
+        assert n.tolist() == [*[(raw >= c).sum() for c in cuts], free.sum()]
+
+
+def buffers(texts):
+    raw = [(t or "").encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+
+
+def brute_features(text):
+    """The features by their definition, character by character and word by word."""
+    raw, w = text.encode(), [x.encode() for x in words(text)]
+    out = np.zeros(quality.N_FEATURES)
+    kind = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\v\f\r", "\n", ".", ",;:", "|", "!?", "#", "$%", "&*", "\"'`", "()[]{}<>", "-_/\\@+=~^"]
+    of = lambda b: 0 if b >= 128 else next((k for k, c in enumerate(kind) if chr(b) in c), 15)
+    for a, b in zip(raw, raw[1:], strict=False):
+        out[of(a) * 16 + of(b)] += 1
+    out[:256] = np.sqrt(out[:256] / max(len(raw) - 1, 1))
+    lower = [bytes(b + 32 if 65 <= b <= 90 else b for b in x) for x in w]
+    lines = [x for x in raw.split(b"\n") if x]
+    grams = [tuple(lower[k : k + 5]) for k in range(len(lower) - 4)] if len(lower) >= 5 else [tuple(lower)] * bool(lower)
+    n, size = max(len(w), 1), [len(x) for x in w]
+    mean = sum(size) / n
+    out[256:] = [
+        np.log1p(len(w)) / 8, mean / 10, np.sqrt(max(sum(k * k for k in size) / n - mean * mean, 0)) / 10, len(set(lower)) / n, len(set(grams)) / max(len(grams), 1),
+        np.log1p(len(lines)) / 5, len(set(lines)) / max(len(lines), 1), np.log1p(len(w) / max(len(lines), 1)) / 5, sum(a == b for a, b in zip(lower, lower[1:], strict=False)) / n,
+        sum(65 <= x[0] <= 90 for x in w) / n, not w, len(w) < 5,
+    ]
+    return out
+
+
+def test_scores_equal_brute_force(spark):
+    texts = [t for _, t in graded(60)[0]] + [t for _, t in corpus(5, 12)] + ["", None, " \n\n ", "one", "a b c d", "é日 | !!\n#x\n#x"]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    rows += rows[:2]
+    x = quality.features(*buffers(texts))
+    model = quality.Committee([quality.fit(x[::2], x, prior=0.6, epochs=2, seed=k) for k in range(3)], 0.6)
+    want = {}
+    for k, t in enumerate(texts):
+        f, each = brute_features(t or ""), []
+        for m in model.members:
+            h = np.maximum(np.clip((f - m.mean) / m.scale, -6, 6) @ m.w1 + m.b1, 0)
+            each.append(1 / (1 + np.exp(-(h @ m.w2 + m.b2))))
+        want[k] = np.mean(each)
+    got = quality.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert len(got) == len(rows) and all(abs(r["score"] - want[r["doc_id"]]) < 2e-3 and r["predicted"] == (r["score"] >= 0.3) for r in got)
+
+
 def test_non_negative_risk_separates():
     rng = np.random.default_rng(0)
     positive, negative = rng.normal(1, 1, (800, 5)), rng.normal(-1, 1, (800, 5))
