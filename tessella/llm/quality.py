@@ -289,9 +289,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabell
         return None
     prior = 0.5
     if len(x) > 1:
-        for _ in range(2):
-            rankers = _halves(x, u, prior, hidden)
-            prior = float(np.mean([best_bin(_above(m.raw(u), cuts) / len(u), share, len(u), len(x) // 2) for m, cuts, share in rankers]))
+        first = _halves(x, u, prior, hidden)
+        prior = float(np.mean([best_bin(_above(m.raw(u), cuts) / len(u), share, len(u), len(x) // 2) for m, cuts, share in first]))
         rankers = _halves(x, u, prior, hidden)
         none = ids.df.select("doc_id").where("false")
         counts = _counts(docs, none if everything else ids.df.select("doc_id"), rankers)
