@@ -28,10 +28,10 @@ from ._words import mix64
 LENGTH = 2048
 END = 1
 DIMENSIONS, BITS, TIE_BITS = 4, 10, 22
-#: Tokens of a range, and the most ranges there are.
-RANGE_TOKENS, MOST_RANGES = 500_000, 16_384
-#: Rows of the sample that range boundaries come from, at about this number.
-SAMPLE = 50_000
+#: Tokens of a range; with more ranges than AIM, ranges grow instead: at 25 trillion tokens to 200 MB of ids, which a task sorts on disk.
+RANGE_TOKENS, AIM = 500_000, 262_144
+#: Rows of the sample that range boundaries come from, at about this number, and at least so many for each range.
+SAMPLE, RANGE_SAMPLE = 50_000, 16
 
 
 def vocabulary(name: str) -> str:
@@ -115,7 +115,7 @@ def _tokens(encoder_args: tuple, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(*encoder_args)
         for batch in batches:
-            ids = [encode(t or "") for t in batch.column("text").to_pylist()]
+            ids = [encode(t.decode("utf-8", "replace") if t else "") for t in batch.column("text").to_pylist()]
             doc = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint64)
             keys = (curve_keys(ids) << TIE_BITS) | (mix64(doc) >> np.uint64(64 - TIE_BITS)).astype(np.int64)
             ids = [np.append(x, np.uint32(end)).astype("<u4") for x in ids]
@@ -153,8 +153,9 @@ def pack(docs: DataFrame, length: int = LENGTH, end: int = END, json_path: str |
 
     A document is its token ids and then `end`; pieces of a document cover it without
     gaps, and pieces of a sequence fill it from 0 without gaps.  All sequences but the
-    last are full.  Null and empty texts are the end token alone.  Repeated rows are
-    packed each; other columns are ignored; an empty table gives no rows.
+    last are full.  Null and empty texts are the end token alone; bytes that are no
+    UTF-8 count as U+FFFD.  Repeated rows are packed each; other columns are ignored;
+    an empty table gives no rows.
     """
     if json_path is None:
         json_path, ranks_path = vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken")
@@ -164,10 +165,11 @@ def pack(docs: DataFrame, length: int = LENGTH, end: int = END, json_path: str |
         pattern = public_tokenizers.PATTERN
     spark = docs.sparkSession
     small_batches(spark, 500)
-    docs = columns_or_null(docs, doc_id="long", text="string")
+    docs = columns_or_null(docs, doc_id="long", text="string").withColumn("text", F.col("text").cast("binary"))
     tokens = Table(docs.mapInArrow(_tokens((json_path, ranks_path, pattern or "", special), end), "doc_id long, key long, n long, ids binary"), "tokens").df
     rows, total = tokens.agg(F.count("*"), F.sum("n")).first()
-    parts = min(MOST_RANGES, -(-(total or 0) // RANGE_TOKENS))
+    parts = min(AIM, -(-(total or 0) // RANGE_TOKENS))
+    sample = max(sample, RANGE_SAMPLE * parts)
     drawn = tokens.select("key", "n").sample(min(1.0, sample / max(rows, 1)), seed=7).toPandas() if parts > 1 else None
     bounds = splitters(drawn["key"].tolist(), drawn["n"].tolist(), parts) if parts > 1 else []
     ranged = tokens.withColumn("range", F.expr(range_of("key", bounds)))

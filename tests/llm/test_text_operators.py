@@ -131,11 +131,43 @@ def test_packing_over_many_ranges(spark, odd_docs, monkeypatch):
     assert sum(r["length"] for r in rows) == 400 * rows[0]["doc_tokens"]
 
 
+def test_packing_bad_utf8(spark, slow):
+    frame = spark.createDataFrame([(1, bytearray(b"a \xff\xfe b")), (2, bytearray(b"\xe9")), (2, bytearray(b"\xe9")), (None, None)], "doc_id long, b binary").selectExpr("doc_id", "cast(b as string) as text")
+    rows = packing.pack(frame).collect()
+    assert len(rows) == 4
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in rows}
+    ids = lambda t: [*slow.encode(t, add_special_tokens=False).ids, 1]
+    assert got == {1: ids("a \ufffd\ufffd b"), 2: ids("\ufffd"), None: [1]}
+
+
+def test_packing_ranges_are_even(spark, monkeypatch):
+    """Hundreds of ranges: each has enough sampled keys to be about as large as the others."""
+    rng, sizes, splitters = random.Random(19), [], packing.splitters
+    monkeypatch.setattr(packing, "RANGE_TOKENS", 400)
+    monkeypatch.setattr(packing, "splitters", lambda keys, weights, parts: sizes.append((len(keys), parts)) or splitters(keys, weights, parts))
+    docs = spark.createDataFrame([(k, " ".join(prose(rng, rng.randrange(2, 12)))) for k in range(4000)], "doc_id long, text string")
+    rebuilt(packing.pack(docs, length=64, sample=10).collect(), 64)
+    (drawn, parts), = sizes
+    assert parts > 200 and drawn >= min(4000, 12 * parts)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_fast_and_slow_tokens_of_the_smallest_table(slow):
+    import pyarrow.parquet as pq
+
+    fast = packing.Encoder(packing.vocabulary("byte_bpe_50k.json"), packing.vocabulary("byte_bpe_50k.tiktoken"), __import__("public_tokenizers").PATTERN, "<|endoftext|>")
+    for name, column in (("documents", "text"), ("conversations", "text"), ("pages", "html")):
+        for t in pq.read_table(f"/root/testdata/sf0.001/{name}.parquet", columns=[column]).column(0).to_pylist():
+            assert fast(t or "").tolist() == slow.encode(t or "", add_special_tokens=False).ids
+
+
 def test_fast_and_slow_tokens_are_equal(slow):
     rng = random.Random(3)
     fast = packing.Encoder(packing.vocabulary("byte_bpe_50k.json"), packing.vocabulary("byte_bpe_50k.tiktoken"), __import__("public_tokenizers").PATTERN, "<|endoftext|>")
     texts = ["", "<|endoftext|>", "a<|endoftext|> b", "\n\n  x \t ", "é🙂日本語", "don't I'LL", "a" * 3000, " " * 3000]
     texts += ["".join(rng.choice("aAé \n\t1'.,!日🙂ع") for _ in range(rng.randrange(200))) for _ in range(200)]
+    planes = [chr(k) for k in [*range(1, 0x250), *range(0x2000, 0x2070), *range(0x300, 0x370), *range(0x660, 0x66A), *range(0x4E00, 0x4E20), 0x85, 0x3000, 0x2028, 0xFEFF, 0xFFFD, 0x1F600, 0xE0001, 0xF0000, 0x10FFFF]]
+    texts += ["".join(rng.choices(planes, k=rng.randrange(1, 60))) for _ in range(2000)]
     for t in texts:
         assert fast(t).tolist() == slow.encode(t, add_special_tokens=False).ids
 
