@@ -367,7 +367,7 @@ def test_surrogates(spark, no_docs):
     assert {r["doc_id"]: r["n"] for r in rows}[5] == 0 and {r["doc_id"]: r["n"] for r in rows}[1] == 3
     again = {r["doc_id"]: r["text"] for r in pii.with_surrogates(frame.select("doc_id", "text"), "key").collect()}
     assert again == new and {r["doc_id"]: r["text"] for r in pii.with_surrogates(frame, "other").collect()}[1] != new[1]
-    assert pii.with_surrogates(no_docs).count() == 0
+    assert pii.with_surrogates(no_docs, "key").count() == 0
     assert {r["kind"] for r in pii.detect(frame).collect()} == {"email", "phone", "ip", "card", "secret", "ssn", "name", "iban"}
 
 
@@ -398,13 +398,98 @@ def test_secrets_in_upper_case(spark):
 
 
 def test_surrogates_stay_distinct(spark):
-    values = spark.createDataFrame([("ssn", f"{k:03d}") for k in range(0, 1000, 8)] + [("email", f"{c}@b.org") for c in "abcdefghij"], "kind string, norm string")
-    rows = pii.surrogate_table(values, rounds=200).df.collect()
-    assert len(rows) == 135 and len({(r["kind"], r["surrogate"]) for r in rows}) == len(rows)
+    values = spark.createDataFrame([("ssn", f"{k:03d}") for k in range(0, 1000, 8)] + [("email", f"{c}@b.org") for c in "abcdefghij"] + [("surname", f"n{a}{b}") for a in "abcdefghijklmnop" for b in "aeiouklmnrst"], "kind string, norm string")
+    rows = pii.surrogate_table(values, "key").df.collect()
+    assert len(rows) == 135 + 16 * 12 and len({(r["kind"], r["surrogate"]) for r in rows}) == len(rows)
     real = {(r["kind"], r["norm"]) for r in rows}
     assert not any((r["kind"], r["surrogate"]) in real for r in rows)
 
 
+def test_surrogates_of_a_full_format(spark):
+    """700 of 1,000 three-digit numbers, and all of 100: still distinct, and none is its own."""
+    for n, kept in ((1000, range(0, 700)), (100, range(100))):
+        width = len(str(n - 1))
+        rows = pii.surrogate_table(spark.createDataFrame([("ssn", f"{k:0{width}d}") for k in kept], "kind string, norm string"), "key").df.collect()
+        assert len(rows) == len(kept) == len({r["surrogate"] for r in rows}) and all(r["norm"] != r["surrogate"] and re.fullmatch(rf"\d{{{width}}}", r["surrogate"]) for r in rows)
+
+
+def brute_turned(numbers, sizes, seed):
+    """The permutation by its definition, in Python."""
+    free = [k for k, r in enumerate(sizes) if r > 1]
+    x, sizes, out = [numbers[k] for k in free], [sizes[k] for k in free], list(numbers)
+    for s in (-4, -3, -2, -1, 9, 0, 1, 2, 3):
+        if s == 9:
+            x = [(v + 1) % sizes[k] if k == 0 else v for k, v in enumerate(x)]
+            continue
+        k, sign = (-s - 1, -1) if s < 0 else (s, 1)
+        other = ",".join(str(v) for i, v in enumerate(x) if i % 2 != k % 2)
+        stream = "".join(hashlib.sha256(f"{seed}{k}|{n}|{other}".encode()).hexdigest() for n in range(3))
+        x = [(v + sign * int(stream[(i // 2 % 48) * 4 :][:4], 16)) % sizes[i] if i % 2 == k % 2 else v for i, v in enumerate(x)]
+    for k, v in zip(free, x, strict=True):
+        out[k] = v
+    return out
+
+
+def test_permutation_equals_brute_force(spark):
+    rng = random.Random(2)
+    values = [("phone", f"+{rng.choice(['1', '49', '380'])} {rng.randrange(10**7, 10**9)}") for _ in range(30)] + [("ssn", f"{rng.randrange(10**9):09d}") for _ in range(30)] + [("ip", ".".join(str(rng.choice([0, 255, 7, 200])) for _ in range(4))) for _ in range(30)]
+    values += [("email", f"a{rng.randrange(99)}.bxq@my-host{k}.co.uk") for k in range(30)]
+    frame = spark.createDataFrame(values, "kind string, norm string")
+    rows = frame.select("kind", "norm", pii._candidate(F.col("kind"), F.col("norm"), F.lit(0), "key").alias("new")).collect()
+    for r in rows:
+        seed = f"key\n{r['kind']}\n0\n"
+        if r["kind"] == "ip":
+            octets = [int(o) for o in r["norm"].split(".")]
+            size = [1 if o in (0, 255) else 254 for o in octets]
+            want = ".".join(str(o) if z == 1 else str(v + 1) for o, z, v in zip(octets, size, brute_turned([0 if z == 1 else o - 1 for o, z in zip(octets, size, strict=True)], size, seed), strict=True))
+        else:
+            low = r["norm"].index(" ") + 1 if r["kind"] == "phone" else 0
+            high = r["norm"].rindex(".") + 1 if r["kind"] == "email" else len(r["norm"])
+            of = [next((a for a in pii._CLASSES if c in a), None) if low <= k < high else None for k, c in enumerate(r["norm"])]
+            turned = brute_turned([a.index(c) if a else 0 for a, c in zip(of, r["norm"], strict=True)], [len(a) if a else 1 for a in of], seed)
+            want = "".join(a[v] if a else c for a, v, c in zip(of, turned, r["norm"], strict=True))
+        assert r["new"] == want
+
+
+NAMED = [
+    (1, "Mr. John Smith called. John Smith said so; SMITH's car, Smith’s dog, and a smith. Johnny stayed."),
+    (2, "Dr. Anna Lee met Prof. Dr. Erik Lee. Later Anna and Erik Lee left with Frau Dr. Anna Kurz."),
+    (3, "Mr. J. Smith wrote: password: hunter2hunter2; again hunter2hunter2."),
+    (4, "John Smith never had a title here."),
+    (5, "Mrs. O'Brien, O'Brien and Mr. Smith-Jones; Smith-Jones; Smith."),
+    (6, "Call +49 170 1234567, +491701234567, +1 (017) 555-7713 or +380 44 123 45 67."),
+    (7, "Mr. John Smith called. John Smith said so; SMITH's car, Smith’s dog, and a smith. Johnny stayed."),
+    (7, "Mr. John Smith called. John Smith said so; SMITH's car, Smith’s dog, and a smith. Johnny stayed."),
+]
+
+
+def test_every_mention_of_a_name_is_replaced(spark):
+    rows = pii.with_surrogates(spark.createDataFrame(NAMED, "doc_id long, text string"), "key").collect()
+    new = {r["doc_id"]: r["text"] for r in rows}
+    assert len(rows) == len(NAMED) and new[7] == new[1]
+    john, smith = re.match(r"Mr\. (\w+) (\w+) called", new[1]).groups()
+    assert new[1] == f"Mr. {john} {smith} called. {john} {smith} said so; {smith.upper()}'s car, {smith}’s dog, and a smith. Johnny stayed."
+    assert john != "John" and smith != "Smith"
+    anna, lee, erik, kurz = re.match(r"Dr\. (\w+) (\w+) met Prof\. Dr\. (\w+) \2\. Later \1 and \3 \2 left with Frau Dr\. \1 (\w+)\.$", new[2]).groups()
+    assert anna.endswith("a") and len({anna, lee, erik, kurz, "Anna", "Lee", "Erik", "Kurz"}) == 8
+    secret = re.match(rf"Mr\. J\. {smith} wrote: password: (\S+); again (\S+)\.$", new[3]).groups()
+    assert secret[0] == secret[1] != "hunter2hunter2"
+    assert new[4] == NAMED[3][1]
+    assert re.match(r"Mrs\. (\S+), \1 and Mr\. (\S+); \2; Smith\.$", new[5]) and "O'Brien" not in new[5]
+    phones = re.match(r"Call (\+49 \d{3} \d{7}), (\+49\d{10}), (\+1 \(\d{3}\) \d{3}-\d{4}) or (\+380 \d\d \d{3} \d\d \d\d)\.$", new[6]).groups()
+    assert phones[0].replace(" ", "") == phones[1] != "+491701234567" and phones[3] != "+380 44 123 45 67"
+
+
+def test_surrogates_need_a_key(spark, no_docs):
+    before = spark.conf.get(pii.KEY_SETTING, None)
+    spark.conf.unset(pii.KEY_SETTING)
+    with pytest.raises(ValueError):
+        pii.with_surrogates(no_docs)
+    key = pii.session_key(spark)
+    assert len(key) == 64 and pii.session_key(spark) == key and pii.with_surrogates(no_docs).count() == 0
+    spark.conf.set(pii.KEY_SETTING, before) if before else spark.conf.unset(pii.KEY_SETTING)
+
+
 def languages(n=60):
     rng = random.Random(12)
     sounds = {"aa": "ba na ka ra la".split(), "bb": "sch rei unt ber gen".split(), "cc": "жа ни ко ро сла".split()}
