@@ -29,8 +29,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by surrogates."""
-    return pii.with_surrogates(docs)
+    """Replaces personal data by surrogates, under the session's key."""
+    return pii.with_surrogates(docs, pii.session_key(spark))
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
