@@ -37,7 +37,7 @@ from ._words import mix64
 COSINE = 0.98
 TREES, BLOCK = 4, 1024
 #: A leaf is to hold the square root of its label's classes, but neither fewer nor more than these.
-LEAST_LEAF, MOST_LEAF = 16, 1024
+LEAST_LEAF, MOST_LEAF = 24, 1024
 #: Half-width of the overlap, in standard deviations of the projected difference of a pair at the least cosine.
 SPILL = 1.0
 #: Vectors that a node is fitted to, and the components they have in all; fitted nodes of fewer are leaves.

@@ -49,8 +49,9 @@ _FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Sign
 _MALE = ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Signor", "Господин", "господин", "Κύριος", "السيد")
 _EITHER = ("Dr", "Prof", "Professor", "Doctor", "Доктор", "доктор", "Профессор", "профессор")
 _any = lambda titles: "(?:" + "|".join(sorted(titles, key=lambda t: -len(t))) + ")"
-#: One to three titles and up to two initials.
-_HEAD = rf"(?:{_any(_FEMALE + _MALE + _EITHER)}\.? ){{1,3}}(?:\p{{Lu}}\. ?){{0,2}}"
+#: One to three titles and up to two initials; the look at one letter makes most places fail at once.
+_FIRST = "(?=[" + "".join(sorted({t[0] for t in _FEMALE + _MALE + _EITHER})) + "])"
+_HEAD = rf"{_FIRST}(?:{_any(_FEMALE + _MALE + _EITHER)}\.? ){{1,3}}(?:\p{{Lu}}\. ?){{0,2}}"
 #: Country codes of telephone numbers, by their first digits.
 _COUNTRY = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
 
@@ -71,16 +72,19 @@ PATTERNS = {
     "name": rf"{_HEAD}{_WORD}(?: {_WORD}){{0,2}}",
 }
 PATTERN = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
-#: Every match holds a digit, an @, the start of a secret in any case or a title with what follows; a cheap test that most texts fail.
-_SECRET_HINT = "(?i)token|secret|passw|api_key|apikey|access_key|akia|gh[pousr]_|sk-[a-z]{20}|[a-f]{40}"
-_WORDS = tuple(f"{t}{end}" for t in _FEMALE + _MALE + _EITHER for end in (" ", "."))
+#: Every match holds a digit, an @, the start of a secret in any case or a title with what follows; cheap tests that most texts fail.
+_SECRET_WORDS = "(?i)token|secret|passw|api_key|apikey|access_key"
+_TITLES = [t for t in _FEMALE + _MALE + _EITHER if not any(u != t and u in t for u in _FEMALE + _MALE + _EITHER)]
+_TITLE_HINT = rf"{_FIRST}{_any(_FEMALE + _MALE + _EITHER)}[ .]"
 
 
 def hint(text: Column) -> Column:
-    out = text.rlike("[0-9@]")
-    for word in _WORDS:
-        out = out | text.contains(word)
-    return out | text.rlike(_SECRET_HINT)
+    titled = text.contains(_TITLES[0])
+    for title in _TITLES[1:]:
+        titled = titled | text.contains(title)
+    named = (text.contains(":") | text.contains("=")) & text.rlike(_SECRET_WORDS)
+    bare = text.rlike("[aA][kK][iI][aA]") | (text.contains("_") & text.rlike("[gG][hH][pousrPOUSR]_")) | (text.contains("-") & text.rlike("[sS][kK]-")) | text.rlike("[a-fA-F]{40}")
+    return text.rlike("[0-9@]") | (titled & text.rlike(_TITLE_HINT)) | named | bare
 
 
 #: Letters that a letter of the same class may become.
