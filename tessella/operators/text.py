@@ -1,25 +1,26 @@
 """Text moderation: multi-pattern matching on transliterated text, and vocabulary scores.
 
-Small lexicons are matched inside the JVM, row by row; for large ones an automaton
-runs over Arrow batches.  Both give the same rows.
+Texts are transliterated in the JVM and then pass once through an automaton and a
+vocabulary over Arrow batches, row by row: nothing is shuffled, joined or read
+twice, and the optimiser cannot write the transliteration out again for each use.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.script import normalize, tokens
+from ..functions.script import BREAKS, normalize
 
-#: Patterns up to which texts are matched by expressions.
-EXPRESSION_PATTERNS = 32
 #: Rows up to which a lexicon or vocabulary is taken to the driver and broadcast.
 MOST_ENTRIES = 2_000_000
 SEMANTIC_GATE = 0.5
+_BREAKS = re.compile(BREAKS)
 
 
 def pattern_list(lexicon: DataFrame, mode: str = "raw") -> list[str]:
@@ -35,13 +36,12 @@ def pattern_list(lexicon: DataFrame, mode: str = "raw") -> list[str]:
     return [r["pattern"] for r in sorted(rows, key=lambda r: (r["category"], r["ordinal"], r["pattern"]))]
 
 
-def first_match(text: Column, patterns: list[str]) -> Column:
-    """The pattern with the earliest end, of several the longest; null without a match."""
-    unique = list(dict.fromkeys(patterns))
-    if not unique:
-        return F.lit(None).cast("string")
-    found = [F.when(F.instr(text, p) > 0, F.struct((F.instr(text, p) + len(p)).alias("end"), F.lit(-len(p)).alias("size"), F.lit(p).alias("pattern"))) for p in unique]
-    return F.array_min(F.array(*found))["pattern"]
+def weight_map(scores: DataFrame) -> dict[str, float]:
+    """Weights of the words of a vocabulary (word, weight)."""
+    rows = scores.select("word", F.col("weight").cast("double").alias("weight")).limit(MOST_ENTRIES + 1).collect()
+    if len(rows) > MOST_ENTRIES:
+        raise ValueError(f"a vocabulary of more than {MOST_ENTRIES} words is not broadcast")
+    return {r["word"]: r["weight"] for r in rows}
 
 
 def contains_any(text: Column, patterns: list[str]) -> Column:
@@ -86,43 +86,75 @@ def all_matches(docs: DataFrame, patterns: list[str], key: str = "doc_id", text:
     return docs.select(key, normalize(F.col(text)).alias("n")).mapInArrow(run, f"`{key}` {kind}, pattern string, start_pos long, end_pos long")
 
 
-def with_first_match(docs: DataFrame, patterns: list[str], text: str = "text", name: str = "matched_pattern") -> DataFrame:
-    """Adds the first match in the transliterated text."""
-    if len(set(patterns)) <= EXPRESSION_PATTERNS:
-        return docs.withColumn(name, first_match(normalize(F.col(text)), patterns))
+def _first_end(automaton, text: str) -> str | None:
+    """The pattern with the earliest end, of several the longest; None without a match."""
+    stop, best = None, None
+    for end, p in automaton.iter(text):
+        if stop is not None and end > stop:
+            break
+        if stop is None or len(p) > len(best):
+            stop, best = end, p
+    return best
+
+
+def first_match(text: Column, patterns: list[str]) -> Column:
+    """The pattern with the earliest end, of several the longest; null without a match."""
     shared = list(dict.fromkeys(patterns))
+    if not shared:
+        return F.lit(None).cast("string")
 
-    @F.pandas_udf("string")
-    def match(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def match(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = _automaton(shared)
-        for s in batches:
-            yield s.map(lambda t: min(((e, -len(p), p) for e, p in _first_end(automaton, t)), default=(0, 0, None))[2] if t else None)
+        for texts in batches:
+            yield pa.array([_first_end(automaton, t) if t else None for t in texts.to_pylist()], pa.string())
 
-    return docs.withColumn(name, match(normalize(F.col(text))))
+    # A filter on the result would else be pushed below it, and texts matched twice.
+    return match.asNondeterministic()(text)
 
 
-def _first_end(automaton, text: str) -> Iterator[tuple[int, str]]:
-    """All matches that share the earliest end."""
-    stop = None
-    for end, p in automaton.iter(text):
-        if stop is not None and end > stop:
-            return
-        stop = end
-        yield end, p
+def with_first_match(docs: DataFrame, patterns: list[str], text: str = "text", name: str = "matched_pattern") -> DataFrame:
+    """Adds the first match in the transliterated text."""
+    return docs.withColumn(name, first_match(normalize(F.col(text)), patterns))
+
+
+def _judged(text: Column, patterns: list[str], weights: dict[str, float] | None, spark) -> Column:
+    """(pattern, tokens, mean) of a transliterated text: its first match; without one, the number of its tokens and the mean weight of those in the vocabulary."""
+    shared, known = list(dict.fromkeys(patterns)), spark.sparkContext.broadcast(weights)
+
+    @F.arrow_udf("pattern string, tokens int, mean double")
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        automaton, get = _automaton(shared) if shared else None, (known.value or {}).get
+        for texts in batches:
+            found, sizes, means = [], [], []
+            for t in texts.to_pylist():
+                p = _first_end(automaton, t) if t and automaton is not None else None
+                words = [w for w in _BREAKS.split(t) if w] if t and p is None and known.value is not None else []
+                hits = [w for w in map(get, words) if w is not None]
+                found.append(p)
+                sizes.append(len(words))
+                means.append(float(np.mean(hits)) if hits else None)
+            yield pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(sizes, pa.int32()), pa.array(means, pa.float64())], ["pattern", "tokens", "mean"])
+
+    return judge.asNondeterministic()(text)
+
+
+def _scored(valid: Column, judged: str) -> Column:
+    score = F.when(~valid | (F.col(f"{judged}.tokens") == 0), 0.0).when(F.col(f"{judged}.mean").isNull(), 0.001)
+    return score.otherwise(1 / (1 + F.exp(-F.col(f"{judged}.mean"))))
 
 
 def semantic_scores(docs: DataFrame, scores: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, is_valid, score): no score for empty texts, 0 without tokens, 0.001 without a known word, else the sigmoid of the mean weight of known tokens."""
-    n = normalize(F.coalesce(F.col(text), F.lit("")))
-    prepared = docs.select(key, F.col(text).alias("t"), tokens(n).alias("tokens"))
-    vocabulary = F.broadcast(scores) if scores.limit(MOST_ENTRIES + 1).count() <= MOST_ENTRIES else scores
-    hits = prepared.select(key, F.explode("tokens").alias("word")).join(vocabulary, "word").groupBy(key).agg(F.avg("weight").alias("mean"))
-    out = prepared.select(key, (F.coalesce(F.length("t"), F.lit(0)) > 0).alias("is_valid"), F.size("tokens").alias("size")).join(hits, key, "left")
-    score = F.when(~F.col("is_valid") | (F.col("size") == 0), 0.0).when(F.col("mean").isNull(), 0.001).otherwise(1 / (1 + F.exp(-F.col("mean"))))
-    return out.select(key, "is_valid", score.alias("score"))
+    """(key, is_valid, score): no score for empty texts, 0 without tokens, 0.001 without a known word, else the sigmoid of the mean weight of known tokens.
+
+    Each row is scored by itself, so keys may repeat or be null.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    judged = docs.select(F.col(key).alias("k"), (F.length(t) > 0).alias("is_valid"), _judged(normalize(t), [], weight_map(scores), docs.sparkSession).alias("j"))
+    return judged.select(F.col("k").alias(key), "is_valid", _scored(F.col("is_valid"), "j").alias("score"))
 
 
-def semantic_gate(scored: DataFrame, threshold: float, key: str = "doc_id") -> DataFrame:
+def semantic_gate(scored: DataFrame, threshold: float) -> DataFrame:
     """Adds flagged (score from 0.5 on) and category (from the model's own threshold on); both thresholds are independent."""
     flagged = F.col("is_valid") & (F.col("score") >= SEMANTIC_GATE)
     category = F.when(F.col("is_valid") & (F.col("score") >= threshold), "PROFANITY_SEMANTIC").otherwise("NONE")
@@ -134,20 +166,18 @@ def moderate_text(docs: DataFrame, patterns: list[str], scores: DataFrame | None
 
     An exact match is PROFANITY_EXACT with risk 1.  Other texts are scored if there is
     a vocabulary; those flagged have the score as risk and the category as type, which
-    is NONE where the score is below the model's threshold.
+    is NONE where the score is below the model's threshold.  Each row is judged by
+    itself, so keys may repeat or be null; null and empty texts are safe.
     """
-    matched = with_first_match(docs.select(key, text), patterns, text)
-    hit = F.col("matched_pattern").isNotNull()
-    report = [F.lit(False).alias("is_safe"), F.lit(1.0).alias("risk_score"), F.lit("PROFANITY_EXACT").alias("violation_type")]
-    if scores is None:
-        safe = [(~hit).alias("is_safe"), F.when(hit, 1.0).otherwise(0.0).alias("risk_score"), F.when(hit, "PROFANITY_EXACT").otherwise("NONE").alias("violation_type")]
-        return matched.select(key, *safe, "matched_pattern")
-    exact = matched.where(hit).select(key, *report, "matched_pattern")
-    gated = semantic_gate(semantic_scores(matched.where(~hit), scores, key, text), threshold, key)
-    risk = F.when(F.col("flagged"), F.col("score")).otherwise(0.0)
-    kind = F.when(F.col("flagged"), F.col("category")).otherwise("NONE")
-    rest = gated.select(key, (~F.col("flagged")).alias("is_safe"), risk.alias("risk_score"), kind.alias("violation_type"), F.lit(None).cast("string").alias("matched_pattern"))
-    return exact.unionByName(rest)
+    t = F.coalesce(F.col(text), F.lit(""))
+    weights = None if scores is None else weight_map(scores)
+    judged = docs.select(F.col(key).alias("k"), (F.length(t) > 0).alias("is_valid"), _judged(normalize(t), patterns, weights, docs.sparkSession).alias("j"))
+    score = F.lit(0.0) if weights is None else _scored(F.col("is_valid"), "j")
+    gated = semantic_gate(judged.select("k", "is_valid", "j.pattern", score.alias("score")), threshold)
+    hit, flagged = F.col("pattern").isNotNull(), F.col("flagged")
+    risk = F.when(hit, 1.0).when(flagged, F.col("score")).otherwise(0.0)
+    kind = F.when(hit, "PROFANITY_EXACT").when(flagged, F.col("category")).otherwise("NONE")
+    return gated.select(F.col("k").alias(key), (~hit & ~flagged).alias("is_safe"), risk.alias("risk_score"), kind.alias("violation_type"), F.col("pattern").alias("matched_pattern"))
 
 
 def moderate_extracted(images: DataFrame, patterns: list[str], key: str, text: str = "extracted_text") -> DataFrame:

@@ -60,7 +60,7 @@ def test_first_match_is_earliest_end_then_longest(spark):
     docs = spark.createDataFrame([(1, "abab"), (2, "b"), (3, "latin"), (4, None), (5, "")], "doc_id long, text string")
     want = {1: "اب", 2: "ب", 3: None, 4: None, 5: None}
     assert {r["doc_id"]: r["matched_pattern"] for r in text.with_first_match(docs, PATTERNS).collect()} == want
-    many = [*PATTERNS, *(f"zz{k}" for k in range(text.EXPRESSION_PATTERNS))]
+    many = [*PATTERNS, *(f"zz{k}" for k in range(5000))]
     assert {r["doc_id"]: r["matched_pattern"] for r in text.with_first_match(docs, many).collect()} == want
 
 
@@ -88,6 +88,32 @@ def test_semantic_edges(spark):
     assert report[1]["is_safe"] and report[1]["risk_score"] == 0.0
 
 
+def test_rows_are_judged_by_themselves(spark):
+    """Keys that repeat or are null share nothing."""
+    rows = [(1, "zero up"), (1, "xx"), (None, "up"), (None, "scum"), (None, None), (2, ""), (2, "up up zero")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = spark.createDataFrame([(normalize_text("zero"), -2.0), (normalize_text("up"), 1.0)], "word string, weight double")
+    sigmoid = lambda x: 1 / (1 + 2.718281828459045**-x)
+    want = [("1", sigmoid(-0.5)), ("1", 0.001), ("None", sigmoid(1.0)), ("None", 0.001), ("None", 0.0), ("2", 0.0), ("2", sigmoid(0.0))]
+    got = [(str(r["doc_id"]), round(r["score"], 9)) for r in text.semantic_scores(docs, words).collect()]
+    assert sorted(got) == sorted((k, round(s, 9)) for k, s in want)
+    report = text.moderate_text(docs, [normalize_text("scum")], words, 0.5).collect()
+    assert sorted((str(r["doc_id"]), r["is_safe"], r["violation_type"]) for r in report) == sorted(
+        [("1", True, "NONE"), ("1", True, "NONE"), ("None", False, "PROFANITY_SEMANTIC"), ("None", False, "PROFANITY_EXACT"), ("None", True, "NONE"), ("2", True, "NONE"), ("2", False, "PROFANITY_SEMANTIC")]
+    )
+
+
+def test_one_pass(spark, tmp_path):
+    """No shuffle, join, union or second scan, and one transliteration, also below a filter on the result."""
+    spark.createDataFrame([(1, "abab")], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    words = spark.createDataFrame([("up", 1.0)], "word string, weight double")
+    for df in (text.moderate_text(docs, PATTERNS, words), text.semantic_scores(docs, words), text.with_first_match(docs, PATTERNS).where("matched_pattern is not null")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Scan parquet") == 1 and plan.count("translate(") <= 1
+        assert not any(word in plan for word in ("Exchange", "Join", "Union"))
+
+
 def test_exact_match_prevails(spark):
     docs = spark.createDataFrame([(1, "scum")], "doc_id long, text string")
     r = text.moderate_text(docs, [normalize_text("scum")], vocabulary.neutral_scores(spark), 0.5).first()
