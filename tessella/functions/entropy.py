@@ -72,8 +72,8 @@ class Model:
         self.history = [symbol, *self.history[:-1]]
 
 
-def encode(symbols, order: int = 2) -> bytes:
-    """The coded stream, padded with zero bits to whole bytes."""
+def encode(symbols, order: int = 2, capacity: int | None = None) -> bytes:
+    """The coded stream, padded with zero bits to whole bytes; an OverflowError where it takes more than `capacity` bytes."""
     model, low, high, pending, bits = Model(order), 0, TOP, 0, []
 
     def put(bit: int) -> None:
@@ -104,9 +104,13 @@ def encode(symbols, order: int = 2) -> bytes:
                 break
             low, high = low << 1, high << 1 | 1
         model.update(c, s)
+        if capacity is not None and len(bits) > capacity * 8:
+            raise OverflowError("Overflow")
     pending += 1
     put(0 if low < QUARTER else 1)
     bits.extend([0] * (-len(bits) % 8))
+    if capacity is not None and len(bits) > capacity * 8:
+        raise OverflowError("Overflow")
     return int("1" + "".join(map(str, bits)), 2).to_bytes(len(bits) // 8 + 1, "big")[1:]
 
 
@@ -165,6 +169,13 @@ class BitWriter:
         self.value = self.value << bits | value & ((1 << bits) - 1)
         self.n += bits
 
+    def write_bytes(self, data: bytes) -> None:
+        """Whole bytes, wherever in a byte the next bit is."""
+        if self.capacity is not None and self.n + 8 * len(data) > self.capacity * 8:
+            raise OverflowError("Overflow")
+        self.value = self.value << 8 * len(data) | int.from_bytes(data, "big")
+        self.n += 8 * len(data)
+
     def bytes(self) -> bytes:
         """All bits, padded with zeros to whole bytes."""
         pad = -self.n % 8

@@ -115,8 +115,20 @@ def frame_symbols(frame: np.ndarray, quality: int) -> list[int]:
     return out
 
 
-def encode_frame(data: bytes, width: int, height: int, quality: int = 50) -> bytes:
-    return entropy.encode(frame_symbols(np.frombuffer(data, np.uint8, width * height).reshape(height, width), quality))
+def encode_frame(data: bytes, width: int, height: int, quality: int = 50, capacity: int | None = None) -> bytes:
+    return entropy.encode(frame_symbols(np.frombuffer(data, np.uint8, width * height).reshape(height, width), quality), capacity=capacity)
+
+
+def image_symbols(frames: DataFrame, *keys: str) -> DataFrame:
+    """(keys, symbols) of frames (keys, width, height, quality, data): the bytes that the coder is given, null for an unfit frame."""
+    kinds = ", ".join(f"{k} {frames.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            symbols = [None if check_frame(d, w, h) else bytes(frame_symbols(np.frombuffer(d, np.uint8, w * h).reshape(h, w), q)) for d, w, h, q in zip(rows["data"], rows["width"], rows["height"], rows["quality"], strict=True)]
+            yield rows[list(keys)].assign(symbols=symbols)
+
+    return frames.select(*keys, "width", "height", "quality", "data").mapInPandas(run, f"{kinds}, symbols binary")
 
 
 def _read_blocks(next_symbol, n: int, quality: int, vectors: list | None = None) -> np.ndarray:
@@ -139,15 +151,21 @@ def decode_frame(stream: bytes, width: int, height: int, quality: int = 50) -> b
     return B.join(B.to_pixels(blocks + 128), width).tobytes()
 
 
-def encode_images(frames: DataFrame, decode: bool = False) -> DataFrame:
-    """(frame_id, original_size, stream, error) of frames (frame_id, width, height, quality, data); decode adds `decoded`."""
+def encode_images(frames: DataFrame, decode: bool = False, capacity: int | None = None) -> DataFrame:
+    """(frame_id, original_size, stream, error) of frames (frame_id, width, height, quality, data); decode adds `decoded`.
+
+    A frame whose stream takes more than `capacity` bytes has none, and the error Overflow.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
             for r in rows.itertuples(index=False):
                 error = check_frame(r.data, r.width, r.height)
-                stream = None if error else encode_frame(r.data, r.width, r.height, r.quality)
+                try:
+                    stream = None if error else encode_frame(r.data, r.width, r.height, r.quality, capacity)
+                except OverflowError as e:
+                    stream, error = None, str(e)
                 out.append((r.frame_id, 0 if error else r.width * r.height, stream, error, decode_frame(stream, r.width, r.height, r.quality) if decode and stream is not None else None))
             frame = pd.DataFrame(out, columns=["frame_id", "original_size", "stream", "error", "decoded"])
             yield frame if decode else frame.drop(columns="decoded")
@@ -165,6 +183,17 @@ def pcm_symbols(samples: np.ndarray, channels: int) -> bytes:
     return np.stack([u >> 8, u & 255], axis=1).astype(np.uint8).tobytes()
 
 
+def audio_symbols(clips: DataFrame) -> DataFrame:
+    """(clip_id, symbols) of clips (clip_id, channels, data): the bytes that the coder is given, without an incomplete last sample."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            symbols = [pcm_symbols(np.frombuffer(d, "<i2", len(d) // (2 * c) * c), c) for d, c in zip(rows["data"], rows["channels"], strict=True)]
+            yield rows[["clip_id"]].assign(symbols=symbols)
+
+    return clips.select("clip_id", "channels", "data").mapInPandas(run, "clip_id string, symbols binary")
+
+
 def encode_pcm(data: bytes, channels: int = 1) -> bytes:
     n = len(data) // (2 * channels) * channels
     return entropy.encode(pcm_symbols(np.frombuffer(data, "<i2", n), channels))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from ..functions.script import normalize, tokens
 from ..operators import audio, codec, policy, text, visual
 from ..sources import lexicon, media, requests, tables, vocabulary
 from ..streaming import pipelines
+from .engine import VARIABLES, Engine
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -77,6 +79,30 @@ def semantic_gate(spark, sf):
     return text.semantic_gate(scored, vocabulary.NEUTRAL_THRESHOLD).select("doc_id", "flagged", "category")
 
 
+@_query
+def text_token_retry(spark, sf):
+    """Searching the tokens as well as the whole text changes nothing."""
+    n = _docs(spark, sf).select("doc_id", normalize(F.col("text")).alias("n"))
+    return n.select("doc_id", text.contains_any(F.col("n"), PATTERNS).alias("hit"), F.exists(tokens(F.col("n")), lambda t: text.contains_any(t, PATTERNS)).alias("token_hit"))
+
+
+@_query
+def lexicon_status(spark, sf):
+    folder = _shared(spark, "lexicons")
+    _write_bytes(spark, f"{folder}/good.json", json.dumps(lexicon.NEUTRAL, ensure_ascii=False).encode())
+    _write_bytes(spark, f"{folder}/bad.json", b"no lexicon")
+    cases = {"good": f"{folder}/good.json", "malformed": f"{folder}/bad.json", "missing": f"{folder}/none.json", "folder": folder, "empty": ""}
+    size = lambda path: lexicon.read_lexicon(spark, path, tolerant=True).count()
+    rows = [(k, ok, size(path) if ok else 0) for k, path in cases.items() for ok in [lexicon.load_status(spark, path)]]
+    return spark.createDataFrame(rows, "name string, loaded boolean, n_patterns long")
+
+
+@_query
+def lexicon_keywords(spark, sf):
+    added = lexicon.add_keywords(lexicon.from_dict(spark, lexicon.NEUTRAL), ["more", "", "yet more"])
+    return added.groupBy("category").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("pattern")), "|").alias("patterns"))
+
+
 @_query
 def lexicon_explode(spark, sf):
     return lexicon.explode_json(spark.createDataFrame([(json.dumps(lexicon.NEUTRAL),)], "value string"))
@@ -142,6 +168,22 @@ def moderate_image(spark, sf):
     return out.withColumns({"risk_score": F.round("risk_score", 6), "skin_ratio": F.round("skin_ratio", 6)})
 
 
+@_query
+def moderate_image_moderate(spark, sf):
+    out = visual.moderate_image(_rated(spark, sf), "MODERATE")
+    return out.withColumns({"risk_score": F.round("risk_score", 6), "skin_ratio": F.round("skin_ratio", 6)})
+
+
+@_query
+def blob_skin_ratio(spark, sf):
+    """Interleaved bytes; every tenth image is cut short, every eleventh has one channel."""
+    images, k = tables.rgb_images(spark, sf), F.col("image_id")
+    text_ = F.array_join(F.transform(F.arrays_zip("r", "g", "b"), lambda p: F.concat(*(F.lpad(F.hex(p[c]), 2, "0") for c in "rgb"))), "")
+    data = F.when(k % 10 == 9, F.substring(F.unhex(text_), 1, 100)).otherwise(F.unhex(text_))
+    blobs = images.select("image_id", "width", "height", F.when(k % 11 == 10, 1).otherwise(3).alias("channels"), data.alias("data"))
+    return visual.blob_skin_ratio(blobs).select("image_id", F.round("skin_ratio", 6).alias("skin_ratio"), "error")
+
+
 # Audio.
 
 
@@ -199,6 +241,20 @@ def moderate_audio(spark, sf):
     return out.withColumns({"risk_score": F.round("risk_score", 6), "bpm": F.round("bpm", 4)})
 
 
+@_query
+def moderate_audio_corrupted(spark, sf):
+    """Of signals with bad samples, those with too many."""
+    return audio.moderate_audio(_events(spark, sf), tables.PCM_RATE).where("corrupted")
+
+
+@_query
+def moderate_audio_moderate(spark, sf):
+    """Signals at twice their level, loud enough for the preset that passes music."""
+    loud = tables.clips(spark, sf).withColumn("v", F.col("v") * F.when(F.col("clip_id") == "A", 1.0).otherwise(2.0))
+    out = audio.moderate_audio(loud, tables.PCM_RATE, "MODERATE")
+    return out.withColumns({"risk_score": F.round("risk_score", 6), "bpm": F.round("bpm", 4)})
+
+
 @_query
 def pcm16_to_float(spark, sf):
     def run(batches):
@@ -292,12 +348,12 @@ def audio_dpcm(spark, sf):
 
 @_query
 def motion_search(spark, sf):
-    return codec.motion(tables.frames(spark, sf), 4).drop("residual")
+    return codec.motion(tables.frames(spark, sf)).drop("residual")
 
 
 @_query
 def motion_residual(spark, sf):
-    m = codec.motion(tables.frames(spark, sf), 4)
+    m = codec.motion(tables.frames(spark, sf))
     return m.select("video_id", "frame_no", "block", F.posexplode("residual").alias("k", "residual"))
 
 
@@ -326,6 +382,65 @@ def image_roundtrip(spark, sf):
     return coded.select(F.col("frame_id").alias("vec_id"), F.lower(F.hex("decoded")).alias("px_hex"))
 
 
+@_query
+def image_symbols(spark, sf):
+    """What the coder is given for images of four blocks."""
+    coded = codec.image_symbols(tables.frames(spark, sf), "video_id", "frame_no")
+    return coded.select("video_id", "frame_no", F.octet_length("symbols").cast("long").alias("n_symbols"), F.md5("symbols").alias("md5"))
+
+
+@_query
+def image_blocks_roundtrip(spark, sf):
+    """Images of four blocks, coded with differences of first values and decoded."""
+    frames = tables.frames(spark, sf).withColumn("frame_id", F.col("video_id") * 1_000_000 + F.col("frame_no"))
+    return codec.encode_images(frames, decode=True).select("frame_id", F.lower(F.hex("decoded")).alias("px_hex"))
+
+
+def _stereo(spark, sf):
+    return tables.pcm_clips(spark, sf).withColumn("channels", F.lit(2))
+
+
+@_query
+def audio_symbols(spark, sf):
+    """What the coder is given for clips of two channels."""
+    coded = codec.audio_symbols(_stereo(spark, sf))
+    return coded.select("clip_id", F.octet_length("symbols").cast("long").alias("n_symbols"), F.md5("symbols").alias("md5"))
+
+
+@_query
+def audio_stereo_roundtrip(spark, sf):
+    coded = codec.encode_audio(_stereo(spark, sf), decode=True)
+    return coded.select("clip_id", F.octet_length("decoded").cast("long").alias("n_bytes"), F.md5("decoded").alias("md5"), "error")
+
+
+@_query
+def bit_stream(spark, sf):
+    """Fields of 3, 13, 0 and 1 bits and a byte, written and read back; a writer of two bytes overflows with more than 16 bits."""
+    from ..functions import entropy
+
+    def run(batches):
+        for rows in batches:
+            out = []
+            for e in rows["event_id"].tolist():
+                w, fields = entropy.BitWriter(), ((e % 8, 3), (e * 7919 % 8192, 13), (5, 0), (e % 2, 1))
+                for value, bits in fields:
+                    w.write(value, bits)
+                w.write_bytes(bytes([e % 256]))
+                data, small, error = w.bytes(), entropy.BitWriter(2), None
+                r = entropy.BitReader(data)
+                back = [r.read(bits) for _, bits in fields if bits]
+                try:
+                    small.write(0, 9 + e % 10)
+                    small.write(1, 1)
+                except OverflowError as x:
+                    error = str(x)
+                out.append((e, data.hex(), *back, entropy.bits_to_bytes(w.n), error))
+            yield pd.DataFrame(out, columns=["event_id", "hex", "a", "b", "c", "n_bytes", "error"])
+
+    events = tables.load(spark, sf, "events").select("event_id")
+    return events.mapInPandas(run, "event_id long, hex string, a long, b long, c long, n_bytes long, error string")
+
+
 @_query
 def audio_encode(spark, sf):
     coded = codec.encode_audio(tables.pcm_clips(spark, sf))
@@ -375,6 +490,24 @@ def report_json(spark, sf):
     return found.select("doc_id", requests.moderation_response(found).alias("response"))
 
 
+@_query
+def serve(spark, sf):
+    """Requests of all kinds through an engine configured by variables, with files, a lexicon, keywords and a model."""
+    folder = _shared(spark, "serve")
+    files = {"media/a.raw": bytes(384), "media/b.raw": bytes(64), "media/a.pcm": bytes(8), "lexicon.json": json.dumps(lexicon.NEUTRAL, ensure_ascii=False).encode()}
+    files["model.bin"] = vocabulary.write_model([*vocabulary.NEUTRAL.items()], vocabulary.NEUTRAL_THRESHOLD)
+    for name, data in files.items():
+        _write_bytes(spark, f"{folder}/{name}", data)
+    variables = {VARIABLES["dictionary"]: f"{folder}/lexicon.json", VARIABLES["model"]: f"{folder}/model.bin", VARIABLES["media"]: f"{folder}/media", VARIABLES["preset"]: "MODERATE"}
+    engine = Engine.from_environment(spark, variables).with_keywords(["added"]).with_preset("STRICT")
+    out = engine.serve(tables.requests(spark, sf))
+    field = lambda p: F.get_json_object("response", f"$.{p}")
+    return out.select(
+        "request_id", field("status").alias("status"), field("message").alias("message"), field("result.is_safe").alias("is_safe"), field("result.violation_type").alias("violation_type"),
+        field("result.is_completed").alias("is_completed"), field("result.original_size").cast("long").alias("original_size"), (field("result.compressed_size").cast("long") > 0).alias("has_size"),
+    )
+
+
 @_query
 def error_messages(spark, sf):
     return policy.error_table(spark)
@@ -405,8 +538,12 @@ def requests_stream(spark, sf):
 
 
 def _shared(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see; a local one only if the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
+    """A new folder that all executors see: below spark.checkpoint.dir, or in a local session without it, where one machine does all, a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"file://{tempfile.gettempdir()}/checkpoints"
     path = f"{root.rstrip('/')}/{name}-{spark.sql('select uuid()').first()[0]}"
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

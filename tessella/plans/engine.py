@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, replace
 
 import pandas as pd
@@ -18,6 +18,8 @@ from ..sources import lexicon, media, requests, vocabulary
 VARIABLES = {"dictionary": "TESSELLA_DICTIONARY", "model": "TESSELLA_MODEL", "media": "TESSELLA_MEDIA", "preset": "TESSELLA_PRESET"}
 NO_FILE = "input file is missing or exceeds the size limit"
 OUTSIDE = "file_path must be inside the media folder"
+#: Files up to which only those that requests name are read.
+MOST_NAMED = 10_000
 
 
 @dataclass(frozen=True)
@@ -47,8 +49,9 @@ class Engine:
         return cls(spark, (*patterns, *(k for k in keywords if k)), scores, threshold, preset, media_root)
 
     @classmethod
-    def from_environment(cls, spark: SparkSession) -> Engine:
-        value = {k: os.environ.get(v) or None for k, v in VARIABLES.items()}
+    def from_environment(cls, spark: SparkSession, variables: Mapping[str, str] = os.environ) -> Engine:
+        """From the variables named in VARIABLES; unset and empty ones are left out."""
+        value = {k: variables.get(v) or None for k, v in VARIABLES.items()}
         return cls.build(spark, value["dictionary"], model=value["model"], preset=value["preset"] or "STRICT", media_root=value["media"])
 
     def with_keywords(self, words: list[str]) -> Engine:
@@ -63,8 +66,14 @@ class Engine:
         return text.moderate_text(docs, list(self.patterns), self.scores, self.threshold, key, column)
 
     def moderate_images(self, images: DataFrame, extracted: DataFrame | None = None, key: str = "image_id") -> DataFrame:
-        """Images with arrays r, g, b; extracted: (key, extracted_text) for those with text."""
-        rated = visual.skin_ratio(visual.skin_mask(images)).select(key, "skin_ratio")
+        """Images with arrays r, g, b, or with interleaved bytes (data, width, height, channels); extracted: (key, extracted_text) for those with text.
+
+        Bytes too short for their image count as without skin; visual.blob_skin_ratio() names them.
+        """
+        if "data" in images.columns:
+            rated = visual.blob_skin_ratio(images.withColumnRenamed(key, "image_id")).select(F.col("image_id").alias(key), F.coalesce("skin_ratio", F.lit(0.0)).alias("skin_ratio"))
+        else:
+            rated = visual.skin_ratio(visual.skin_mask(images)).select(key, "skin_ratio")
         if extracted is None:
             rated = rated.withColumn("has_violation", F.lit(False))
         else:
@@ -105,13 +114,27 @@ class Engine:
                 out = [_media_response(r, preset) for r in rows.to_dict("records")]
                 yield pd.DataFrame({"request_id": rows["request_id"], "response": out})
 
-        work = good.where("action <> 'analyze_text'").join(files.select("name", "content"), "name")
+        work = good.where("action <> 'analyze_text'")
+        if root is not None:
+            files = self._contents(work, files)
+        work = work.join(files.select("name", "content"), "name")
         columns = ["request_id", "action", "width", "height", "quality_factor", "sample_rate", "channels", "content"]
         kind = incoming.schema["request_id"].dataType.simpleString()
         served = work.select(*columns).mapInPandas(run, f"request_id {kind}, response string")
         return failed.unionByName(texts).unionByName(served)
 
 
+    def _contents(self, work: DataFrame, files: DataFrame) -> DataFrame:
+        """(name, content) of the files that requests name: these alone if they are few, else all below the root."""
+        names = [r["name"] for r in work.select("name").distinct().limit(MOST_NAMED + 1).collect()]
+        if not 0 < len(names) <= MOST_NAMED or any(c in n for n in names for c in "*?[]{}\\"):
+            return files.select("name", "content")
+        top = self.media_root.rstrip("/")
+        read = self.spark.read.format("binaryFile").load([f"{top}/{n}" for n in names])
+        path = F.regexp_replace("path", "^file:/*", "/")
+        return read.select(F.replace(path, F.lit(top.removeprefix("file://") + "/"), F.lit("")).alias("name"), "content")
+
+
 def _media_response(r: dict, preset: str) -> str:
     data = r["content"]
     if r["action"].startswith("analyze"):

@@ -58,7 +58,7 @@ _BYTES = f"""{_PCM}, hex AS (SELECT clip_id || ':' || (i // 256) AS clip_id, str
 _FRAMES = f"""{_BLOCK}, nb AS (SELECT vec_id, label AS video_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n FROM embeddings WHERE len(embedding) = 64),
 fp AS (SELECT b.video_id, n // 4 AS f, (n % 4 // 2) * 8 + k // 8 AS y, (n % 2) * 8 + k % 8 AS x, px, count(*) OVER (PARTITION BY b.video_id, n // 4) AS c FROM nb b JOIN blk ON blk.vec_id = b.vec_id),
 f AS (SELECT video_id, f AS frame_no, x, y, px FROM fp WHERE c = 256),
-cand AS (SELECT * FROM range(2) a(cy), range(2) b(bx), range(-4, 5) c(dy), range(-4, 5) d(dx) WHERE cy * 8 + dy BETWEEN 0 AND 8 AND bx * 8 + dx BETWEEN 0 AND 8),
+cand AS (SELECT * FROM range(2) a(cy), range(2) b(bx), range(-8, 9) c(dy), range(-8, 9) d(dx) WHERE cy * 8 + dy BETWEEN 0 AND 8 AND bx * 8 + dx BETWEEN 0 AND 8),
 sad AS (SELECT n.video_id, n.frame_no, cy * 2 + bx AS block, dx, dy, sum(abs(n.px - o.px)) AS sad FROM cand JOIN f n ON n.x // 8 = bx AND n.y // 8 = cy JOIN f o ON o.video_id = n.video_id AND o.frame_no = n.frame_no - 1 AND o.x = n.x + dx AND o.y = n.y + dy GROUP BY ALL),
 mv AS (SELECT video_id, frame_no, block, dx, dy, sad FROM sad QUALIFY row_number() OVER (PARTITION BY video_id, frame_no, block ORDER BY sad, dy, dx) = 1)"""
 
@@ -69,6 +69,17 @@ CASE k WHEN 1 THEN 'missing text' WHEN 2 THEN CASE WHEN event_id % 7 = 0 THEN 'i
 WHEN 4 THEN CASE WHEN event_id % 24 = 0 OR event_id % 24 % 8 <> 0 THEN 'invalid image compression parameters' END WHEN 5 THEN CASE WHEN event_id % 4 NOT IN (1, 2) THEN 'invalid audio compression parameters' END
 WHEN 6 THEN 'missing file_path' WHEN 7 THEN 'missing action' WHEN 8 THEN 'unknown action: resize' WHEN 9 THEN CASE WHEN event_id % 120 NOT BETWEEN 1 AND 100 THEN 'invalid image compression parameters' END END AS error FROM req)"""
 
+_FOLD = lambda v: f"CASE WHEN {v} >= 0 THEN 2 * {v} ELSE -2 * {v} - 1 END"
+_WRAP = lambda v: f"(((({v}) + 32768) % 65536 + 65536) % 65536 - 32768)"
+_NB = "nb AS (SELECT vec_id, label AS video_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n FROM embeddings WHERE len(embedding) = 64)"
+_SYMBOLS = f"""{_ZZ}, {_NB}, zf AS (SELECT nb.video_id, n // 4 AS frame_no, n % 4 AS b, k, q, count(*) OVER (PARTITION BY nb.video_id, n // 4) AS c FROM zz JOIN nb ON nb.vec_id = zz.vec_id),
+dc AS (SELECT video_id, frame_no, b, {_WRAP("q - lag(q, 1, 0) OVER (PARTITION BY video_id, frame_no ORDER BY b)")} AS d FROM zf WHERE k = 0 AND c = 256),
+rl AS (SELECT video_id, frame_no, b, k, k - lag(k, 1, 0) OVER (PARTITION BY video_id, frame_no, b ORDER BY k) - 1 AS run, q FROM zf WHERE k > 0 AND q <> 0 AND c = 256),
+sym AS (SELECT video_id, frame_no, b, 0 AS k, printf('%04x', CAST({_FOLD("d")} AS INTEGER)) AS h FROM dc UNION ALL SELECT video_id, frame_no, b, k, printf('%02x', CAST(run AS INTEGER)) || printf('%04x', CAST({_FOLD("q")} AS INTEGER)) FROM rl UNION ALL SELECT video_id, frame_no, b, 64, 'ff' FROM dc)"""
+_PAIRS = f"""{_PCM}, st AS (SELECT clip_id || ':' || (i // 256) AS clip_id, i % 256 AS j, s, count(*) OVER (PARTITION BY clip_id, i // 256) AS c FROM pcm),
+sd AS (SELECT clip_id, j, c, {_WRAP("s - lag(s, 1, 0) OVER (PARTITION BY clip_id, j % 2 ORDER BY j)")} AS d FROM st)"""
+_LOUD = f"{_BPM}, lo AS (SELECT *, bpm > 110 AND confidence > 0.15 AND rms * CASE WHEN clip_id = 'A' THEN 1 ELSE 2 END > 0.8 AS music FROM bpm)"
+
 ORACLES: dict[str, str] = {
     "moderate_text": f"""WITH {_FIRST}, {_SCORE} SELECT s.doc_id, matched_pattern IS NULL AND NOT (is_valid AND score >= 0.5) AS is_safe,
 CASE WHEN matched_pattern IS NOT NULL THEN 1.0::DOUBLE WHEN is_valid AND score >= 0.5 THEN round(score, 6) ELSE 0.0::DOUBLE END AS risk_score,
@@ -137,4 +148,24 @@ FROM mv JOIN f n ON n.video_id = mv.video_id AND n.frame_no = mv.frame_no AND (n
     "error_messages": "SELECT * FROM (VALUES " + ", ".join(f"({_q(a)}, {_q(b)})" for a, b in ERRORS.items()) + ") v(error, message)",
     "model_vocab": "SELECT * FROM (VALUES " + ", ".join(f"({_q(w)}, {_q(','.join(map(str, v)))}, CAST({NEUTRAL_THRESHOLD} AS DOUBLE))" for w, v in WORDS.items()) + ") v(word, weights, threshold)",
     "media_files": "SELECT 'clip_' || k || '.pcm' AS name, k * 10 + 10 AS length, md5(unhex(coalesce((SELECT string_agg(printf('%02x', CAST(b AS INTEGER)), '' ORDER BY b) FROM range(k * 10 + 10) r(b)), ''))) AS md5 FROM range(5) q(k)",
+    "text_token_retry": f"""WITH {_LEX}, {_N}, t AS (SELECT doc_id, unnest({_TOKENS.format('n')}) AS t FROM n), h AS (SELECT DISTINCT doc_id FROM n JOIN lex ON contains(n, pattern)), k AS (SELECT DISTINCT doc_id FROM t JOIN lex ON contains(t, pattern))
+SELECT n.doc_id, h.doc_id IS NOT NULL AS hit, k.doc_id IS NOT NULL AS token_hit FROM n LEFT JOIN h ON h.doc_id = n.doc_id LEFT JOIN k ON k.doc_id = n.doc_id""",
+    "lexicon_status": f"WITH {_LEX} SELECT name, loaded, CASE WHEN name = 'good' THEN (SELECT count(*) FROM lex) ELSE 0 END AS n_patterns FROM (VALUES ('good', true), ('malformed', true), ('missing', false), ('folder', false), ('empty', false)) v(name, loaded)",
+    "lexicon_keywords": f"WITH {_LEX}, a AS (SELECT category, pattern FROM lex UNION ALL VALUES ('ADDED', 'more'), ('ADDED', 'yet more')) SELECT category, count(*) AS n, string_agg(DISTINCT pattern, '|' ORDER BY pattern) AS patterns FROM a GROUP BY 1",
+    "moderate_image_moderate": f"""WITH {_FIRST}, {_SKIN}, r AS (SELECT image_id, avg(s) AS s FROM skin GROUP BY 1)
+SELECT image_id, s < 0.45 AND matched_pattern IS NULL AS is_safe, CASE WHEN matched_pattern IS NOT NULL THEN 1.0::DOUBLE WHEN s >= 0.45 THEN round(least(1.0::DOUBLE, s / 0.45::DOUBLE), 6) ELSE 0.0::DOUBLE END AS risk_score,
+CASE WHEN matched_pattern IS NOT NULL THEN 'OCR_PROFANITY' WHEN s >= 0.45 THEN 'EXPLICIT_BODY' ELSE 'NONE' END AS violation_type, round(s, 6) AS skin_ratio FROM r LEFT JOIN first ON first.doc_id = image_id""",
+    "blob_skin_ratio": f"WITH {_SKIN} SELECT image_id, CASE WHEN image_id % 11 = 10 OR image_id % 10 = 9 THEN 0.0::DOUBLE ELSE round(avg(s), 6) END AS skin_ratio, CASE WHEN image_id % 10 = 9 AND image_id % 11 <> 10 THEN 'InvalidInput' END AS error FROM skin GROUP BY 1",
+    "moderate_audio_corrupted": """WITH c AS (SELECT event_type AS clip_id, count(*) AS n, count(*) FILTER ((event_id % 40 = 0 AND length(event_type) % 2 = 0) OR event_id % 400 = 0) AS bad FROM events GROUP BY 1)
+SELECT clip_id, false AS is_safe, 0.0::DOUBLE AS risk_score, 'CORRUPTED_AUDIO' AS violation_type, false AS flagged, true AS corrupted, 0.0::DOUBLE AS bpm FROM c WHERE bad > n // 100 OR bad = n""",
+    "moderate_audio_moderate": f"""WITH {_LOUD} SELECT clip_id, NOT music AS is_safe, CASE WHEN music THEN round(confidence, 6) ELSE 0.0::DOUBLE END AS risk_score, CASE WHEN music THEN 'HIGH_ENERGY_AUDIO' ELSE 'NONE' END AS violation_type, music AS flagged, false AS corrupted, round(bpm, 4) AS bpm FROM lo""",
+    "image_symbols": f"WITH {_SYMBOLS}, j AS (SELECT video_id, frame_no, string_agg(h, '' ORDER BY b, k) AS h FROM sym GROUP BY 1, 2) SELECT video_id, frame_no, length(h) // 2 AS n_symbols, md5(unhex(h)) AS md5 FROM j",
+    "image_blocks_roundtrip": f"""WITH {_REC}, {_NB}, p AS (SELECT nb.video_id, n // 4 AS frame_no, (n % 4 // 2) * 8 + k // 8 AS y, (n % 2) * 8 + k % 8 AS x, px, count(*) OVER (PARTITION BY nb.video_id, n // 4) AS c FROM rec JOIN nb ON nb.vec_id = rec.vec_id)
+SELECT video_id * 1000000 + frame_no AS frame_id, string_agg(printf('%02x', px), '' ORDER BY y, x) AS px_hex FROM p WHERE c = 256 GROUP BY 1""",
+    "audio_symbols": f"WITH {_PAIRS}, j AS (SELECT clip_id, string_agg(printf('%04x', CAST({_FOLD('d')} AS INTEGER)), '' ORDER BY j) AS h FROM sd WHERE j < c // 2 * 2 GROUP BY 1) SELECT clip_id, length(h) // 2 AS n_symbols, md5(unhex(h)) AS md5 FROM j",
+    "audio_stereo_roundtrip": f"WITH {_BYTES} SELECT clip_id, CASE WHEN length(h) % 8 = 0 THEN length(h) // 2 END AS n_bytes, CASE WHEN length(h) % 8 = 0 THEN md5(unhex(h)) END AS md5, CASE WHEN length(h) % 8 <> 0 THEN 'InvalidInput' END AS error FROM hex",
+    "bit_stream": """SELECT event_id, printf('%08x', CAST((((event_id % 8) * 8192 + event_id * 7919 % 8192) * 2 + event_id % 2) * 256 + event_id % 256 AS BIGINT) * 128) AS hex, event_id % 8 AS a, event_id * 7919 % 8192 AS b, event_id % 2 AS c, 4 AS n_bytes, CASE WHEN 10 + event_id % 10 > 16 THEN 'Overflow' END AS error FROM events""",
+    "serve": f"""WITH {_REQ} SELECT request_id, CASE WHEN error IS NULL THEN 'success' ELSE 'error' END AS status, error AS message,
+CASE WHEN error IS NULL AND action LIKE 'analyze%' THEN CASE WHEN action = 'analyze_text' THEN 'false' ELSE 'true' END END AS is_safe, CASE WHEN error IS NULL AND action LIKE 'analyze%' THEN CASE WHEN action = 'analyze_text' THEN 'PROFANITY_EXACT' ELSE 'NONE' END END AS violation_type,
+CASE WHEN error IS NULL AND action LIKE 'compress%' THEN 'true' END AS is_completed, CASE WHEN error IS NULL AND action LIKE 'compress%' THEN CASE request_id % 10 WHEN 4 THEN 16 * (request_id % 24) WHEN 5 THEN 8 ELSE 64 END END AS original_size, CASE WHEN error IS NULL AND action LIKE 'compress%' THEN true END AS has_size FROM route""",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The fields and actions of requests, and below the texts of errors.
 SCHEMA = "action string, text string, file_path string, width bigint, height bigint, quality_factor bigint, sample_rate bigint, channels bigint"
 MOST_BYTES = 65_536
 ACTIONS = ("analyze_text", "analyze_image", "analyze_audio", "compress_image", "compress_audio")

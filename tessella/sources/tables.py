@@ -75,7 +75,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [F.slice(f"t{t + side}", y * 8 + 1, 8) for t in (0, 2) for y in range(8) for side in (0, 1)]
     text = F.array_join(F.transform(F.concat(*rows), lambda v: F.lpad(F.hex(v), 2, "0")), "")
     kind = F.when(F.col("frame_no") % 8 == 0, 0).otherwise(1)
-    return tiles.select("video_id", "frame_no", kind.alias("frame_type"), F.lit(16).alias("width"), F.lit(16).alias("height"), F.lit(50).alias("quality"), F.lit(4).alias("search_window"), F.unhex(text).alias("data"))
+    return tiles.select("video_id", "frame_no", kind.alias("frame_type"), F.lit(16).alias("width"), F.lit(16).alias("height"), F.lit(50).alias("quality"), F.lit(8).alias("search_window"), F.unhex(text).alias("data"))
 
 
 def gray_frames(spark: SparkSession, sf_dir: str, quality: int = 50) -> DataFrame:
