@@ -8,15 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only in a local session without a shared folder, where one machine does all, as in tests.
 LOCAL_SHARED = "/tmp/checkpoints/tessella"
 #: Rows up to which a table of single ids, or of pairs, is broadcast: some 25 MB as a hash table.
 BROADCAST_IDS, BROADCAST_PAIRS = 1_000_000, 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, read from the session."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
+    """The folder that all executors share: spark.checkpoint.dir, read from the session; a cluster without one is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or LOCAL_SHARED
 
 
 def new_path(spark: SparkSession, name: str) -> str:
