@@ -422,6 +422,7 @@ def with_surrogates(docs: DataFrame, key: str | None = None, count: str | None =
     some = F.coalesce(F.when(hint(text), text.rlike(PATTERN)), F.lit(False))
     marked = Table(docs.where(some), "marked").df
     values = marked.select(F.md5(text.cast("binary")).alias("h"), F.explode(F.array_distinct(_values(text))).alias("raw")).distinct()
+    values = _deal(values, "h", "raw")
     values = values.withColumn("kind", _kind(F.col("raw")))
     values = Table(values.withColumn("parts", _parts(F.col("raw"), F.col("kind"))), "values")
     forms = values.df.groupBy("raw", "kind").agg(F.first("parts").alias("parts"))
