@@ -42,7 +42,7 @@ PERCENT = 75
 #: Of SKETCH values of the union, pairs at the least similarity share fewer with a chance below 1e-7.
 LEAST_OVERLAP = 28
 #: Texts and shingles of a block, at about these numbers; two blocks are compared at a time.
-BLOCK, BLOCK_SHINGLES = 512, 1 << 18
+BLOCK, BLOCK_SHINGLES = 192, 1 << 17
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
