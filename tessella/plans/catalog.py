@@ -504,7 +504,7 @@ def serve(spark, sf):
     field = lambda p: F.get_json_object("response", f"$.{p}")
     return out.select(
         "request_id", field("status").alias("status"), field("message").alias("message"), field("result.is_safe").alias("is_safe"), field("result.violation_type").alias("violation_type"),
-        field("result.is_completed").alias("is_completed"), field("result.original_size").cast("long").alias("original_size"), (field("result.compressed_size").cast("long") > 0).alias("has_size"),
+        field("result.is_completed").alias("is_completed"), field("result.original_size").cast("long").alias("original_size"), F.coalesce(field("result.compressed_size").cast("long") > 0, F.lit(False)).alias("has_size"),
     )
 
 

@@ -167,5 +167,5 @@ SELECT video_id * 1000000 + frame_no AS frame_id, string_agg(printf('%02x', px),
     "bit_stream": """SELECT event_id, printf('%08x', CAST((((event_id % 8) * 8192 + event_id * 7919 % 8192) * 2 + event_id % 2) * 256 + event_id % 256 AS BIGINT) * 128) AS hex, event_id % 8 AS a, event_id * 7919 % 8192 AS b, event_id % 2 AS c, 4 AS n_bytes, CASE WHEN 10 + event_id % 10 > 16 THEN 'Overflow' END AS error FROM events""",
     "serve": f"""WITH {_REQ} SELECT request_id, CASE WHEN error IS NULL THEN 'success' ELSE 'error' END AS status, error AS message,
 CASE WHEN error IS NULL AND action LIKE 'analyze%' THEN CASE WHEN action = 'analyze_text' THEN 'false' ELSE 'true' END END AS is_safe, CASE WHEN error IS NULL AND action LIKE 'analyze%' THEN CASE WHEN action = 'analyze_text' THEN 'PROFANITY_EXACT' ELSE 'NONE' END END AS violation_type,
-CASE WHEN error IS NULL AND action LIKE 'compress%' THEN 'true' END AS is_completed, CASE WHEN error IS NULL AND action LIKE 'compress%' THEN CASE request_id % 10 WHEN 4 THEN 16 * (request_id % 24) WHEN 5 THEN 8 ELSE 64 END END AS original_size, CASE WHEN error IS NULL AND action LIKE 'compress%' THEN true END AS has_size FROM route""",
+CASE WHEN error IS NULL AND action LIKE 'compress%' THEN 'true' END AS is_completed, CASE WHEN error IS NULL AND action LIKE 'compress%' THEN CASE request_id % 10 WHEN 4 THEN 16 * (request_id % 24) WHEN 5 THEN 8 ELSE 64 END END AS original_size, error IS NULL AND coalesce(action LIKE 'compress%', false) AS has_size FROM route""",
 }

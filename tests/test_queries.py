@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -15,7 +16,7 @@ TABLES = "documents embeddings pages benchmark labels conversations events linei
 
 
 def rows_of(frame, columns):
-    plain = lambda v: None if v is None or v != v else repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) or hasattr(v, "dtype") and v.dtype.kind in "if" else str(v)
+    plain = lambda v: None if pd.isna(v) else repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) or hasattr(v, "dtype") and v.dtype.kind in "if" else str(v)
     return sorted(map(repr, (tuple(plain(v) for v in r) for r in frame[columns].astype(object).itertuples(index=False))))
 
 
