@@ -72,6 +72,23 @@ def test_stages(spark, tmp_path):
         assert np.frombuffer(b"".join(x for _, x in own), "<u4").tolist() == [*encode(t or ""), 1]
 
 
+def test_stages_on_odd_and_empty_tables(spark, odd_docs, no_docs, tmp_path):
+    """Repeated rows, null ids and texts, and columns with the names used inside pass every stage; empty tables stay empty."""
+    folder = str(tmp_path)
+    make(spark, folder)
+    extra = odd_docs.limit(3).unionByName(odd_docs.limit(2).selectExpr("cast(null as bigint) as doc_id", *[f"`{c}`" for c in odd_docs.columns[1:]]))
+    both = odd_docs.unionByName(extra)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, both, folder)
+        assert out.columns == both.columns and 0 < out.count() <= both.count()
+        if name in ("decontamination", "pii"):
+            assert out.where("doc_id is null").count() == 2
+        empty = stage(spark, no_docs, folder)
+        assert empty.columns == no_docs.columns and empty.count() == 0
+    last = corpus_pipeline.STAGES[4][1]
+    assert last(spark, no_docs, folder).count() == 0 and last(spark, both, folder).where("start = 0").count() == both.count()
+
+
 def test_run(spark, tmp_path):
     make(spark, str(tmp_path))
     out = corpus_pipeline.run(spark, str(tmp_path))
