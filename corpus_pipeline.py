@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all
 rows that the stage before it kept.  All but the last keep the columns of
-documents.
+documents, whatever they are called.  Null and empty texts are judged as empty ones
+and pass all stages but the first, which may reject them; rows without a doc_id are
+never duplicates; of rows that repeat a doc_id and a text, near_dedup keeps one.
+Empty tables give empty tables.
 """
 
 from __future__ import annotations
